@@ -30,8 +30,26 @@ class Dialect:
         return re.sub(r"\{(\w+)\}", lambda m: self.table.format(name=m[1]), sql)
 
 
-def spark_dialect(sf_dir: str) -> Dialect:
-    return Dialect(f"parquet.`{sf_dir}/{{name}}.parquet`", "LATERAL VIEW explode(sequence(0, {last})) fan AS j")
+def spark_dialect(spark: SparkSession, sf_dir: str) -> Dialect:
+    """Driver tables are read in place. A small table comes as one Parquet row group, hence as one task: its few
+    columns are then spread over the cores. Tables with enough splits of their own are left as they are."""
+    cores = spark.sparkContext.defaultParallelism
+    splits = _splits(spark, f"{sf_dir}/orders.parquet")
+    hint = f"/*+ REPARTITION({cores}) */ " if splits < cores else ""
+    return Dialect(
+        f"(SELECT {hint}* FROM parquet.`{sf_dir}/{{name}}.parquet`)",
+        "LATERAL VIEW explode(sequence(0, {last})) fan AS j",
+    )
+
+
+_KNOWN_SPLITS: dict[tuple[str, str], int] = {}
+
+
+def _splits(spark: SparkSession, path: str) -> int:
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _KNOWN_SPLITS:
+        _KNOWN_SPLITS[key] = spark.read.parquet(path).rdd.getNumPartitions()
+    return _KNOWN_SPLITS[key]
 
 
 CHECK_DIALECT = Dialect("{name}", "CROSS JOIN unnest(range(0, {n})) AS fan(j)")
@@ -342,4 +360,4 @@ def ctes(dialect: Dialect, *wanted: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One logical table as a lazy DataFrame over the driver's Parquet files."""
-    return spark.sql(f"WITH {ctes(spark_dialect(sf_dir), name)} SELECT * FROM {name}")
+    return spark.sql(f"WITH {ctes(spark_dialect(spark, sf_dir), name)} SELECT * FROM {name}")
