@@ -24,7 +24,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _text(value: object) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and value != value):
         return "NULL"
     if isinstance(value, bool):
         return str(value)

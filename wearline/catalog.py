@@ -144,7 +144,7 @@ def assign_technician(s: Site) -> DataFrame:
 @query
 def kpi_maintenance(s: Site) -> DataFrame:
     kpis = MAINTENANCE.query(s.maintenance(), list(MAINTENANCE.measures), by=["plant", "station_type"])
-    return _round(kpis, 3, "downtime_min", "parts_cost_usd", "mttr_min", "preventive_share")
+    return _round(_round(kpis, 3, "downtime_min", "parts_cost_usd"), 9, "mttr_min", "preventive_share")
 
 
 @query
@@ -157,12 +157,12 @@ def kpi_maintenance_hourly(s: Site) -> DataFrame:
 
 @query
 def q_mttr_by_type(s: Site) -> DataFrame:
-    return _round(MAINTENANCE.query(s.maintenance(), ["failures", "mttr_min"], by=["station_type"]), 3, "mttr_min")
+    return _round(MAINTENANCE.query(s.maintenance(), ["failures", "mttr_min"], by=["station_type"]), 9, "mttr_min")
 
 
 @query
 def q_mttr_by_plant(s: Site) -> DataFrame:
-    return _round(MAINTENANCE.query(s.maintenance(), ["mttr_min"], by=["plant"]), 3, "mttr_min")
+    return _round(MAINTENANCE.query(s.maintenance(), ["mttr_min"], by=["plant"]), 9, "mttr_min")
 
 
 @query
@@ -185,7 +185,7 @@ def q_cost_by_plant(s: Site) -> DataFrame:
 
 @query
 def q_preventive_share(s: Site) -> DataFrame:
-    return _round(MAINTENANCE.query(s.maintenance(), ["preventive_share"], by=["station_type"]), 6, "preventive_share")
+    return _round(MAINTENANCE.query(s.maintenance(), ["preventive_share"], by=["station_type"]), 9, "preventive_share")
 
 
 @query
@@ -267,13 +267,13 @@ def _risk_facts(s: Site) -> DataFrame:
 @query
 def kpi_risk(s: Site) -> DataFrame:
     kpis = RISK.query(_risk_facts(s), list(RISK.measures), by=["plant", "station_type"])
-    return _round(kpis, 6, "avg_failure_probability", "avg_sensor_to_score_s")
+    return _round(kpis, 9, "avg_failure_probability", "avg_sensor_to_score_s")
 
 
 @query
 def kpi_risk_trend(s: Site) -> DataFrame:
     recent = trailing(_risk_facts(s), "window_end", 900)
-    return _round(RISK.query(recent, ["avg_failure_probability", "scored_windows"], by=["plant", "score_minute"]), 6,
+    return _round(RISK.query(recent, ["avg_failure_probability", "scored_windows"], by=["plant", "score_minute"]), 9,
                   "avg_failure_probability")
 
 
@@ -282,7 +282,7 @@ def kpi_risk_by_plant_recent(s: Site) -> DataFrame:
     recent = trailing(_risk_facts(s), "window_end", 600)
     kpis = RISK.query(recent, ["stations_at_high_risk", "avg_failure_probability", "avg_sensor_to_score_s",
                                "latest_score_time"], by=["plant"])
-    return _round(kpis, 6, "avg_failure_probability", "avg_sensor_to_score_s")
+    return _round(kpis, 9, "avg_failure_probability", "avg_sensor_to_score_s")
 
 
 @query
@@ -353,7 +353,7 @@ def _order_facts(s: Site) -> DataFrame:
 @query
 def kpi_work_orders(s: Site) -> DataFrame:
     kpis = WORK_ORDERS.query(_order_facts(s), list(WORK_ORDERS.measures), by=["plant", "priority", "status"])
-    return _round(kpis, 6, "avg_risk_at_creation", "avg_minutes_to_complete")
+    return _round(kpis, 9, "avg_risk_at_creation", "avg_minutes_to_complete")
 
 
 @query
@@ -361,7 +361,7 @@ def kpi_work_orders_by_cause(s: Site) -> DataFrame:
     kpis = WORK_ORDERS.query(
         _order_facts(s), ["work_orders", "avg_risk_at_creation"],
         by=["station_type", "risk_band_at_creation", "top_signal_at_creation"], where=F.col("created_date").isNotNull())
-    return _round(kpis, 6, "avg_risk_at_creation")
+    return _round(kpis, 9, "avg_risk_at_creation")
 
 
 @query
@@ -511,7 +511,7 @@ def lead_time_summary(s: Site) -> DataFrame:
 @query
 def model_metrics(s: Site) -> DataFrame:
     metrics = evaluation.model_metrics(s.scored_training())
-    return _round(metrics, 6, *[c for c in metrics.columns if c != "windows_at_high"])
+    return _round(metrics, 9, *[c for c in metrics.columns if c != "windows_at_high"])
 
 
 @query
