@@ -1,0 +1,135 @@
+import math
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from builders import at, reading, readings, rows, station_master
+from wearline.constants import FEATURES, SENSORS
+from wearline.operators import clean, scoring
+from wearline.operators.windows import paned_window_features, window_features
+
+
+def _normal(spark, data, *stations):
+    master = station_master(spark, *(stations or [("A", "P1", "P1-A", "press")]))
+    return clean.normalize(readings(spark, data), master)
+
+
+@pytest.mark.parametrize("form", [window_features, paned_window_features])
+def test_against_brute_force(spark, form):
+    values = {s: 2.0 * (1 + (s * 7 % 13) / 50) for s in range(0, 200) if s % 17 != 5}
+    df = _normal(spark, [reading("A", s, vibration_rms=v) for s, v in values.items()])
+    got = {r.window_end: r for r in form(df).collect()}
+    assert len(got) == (200 + 110) // 10
+    for end in range(10, 311, 10):
+        inside = [v / 2.0 for s, v in values.items() if end - 120 <= s < end]
+        row = got[at(end)]
+        assert row.n_readings == len(inside)
+        assert row.vibration_rms_mean == pytest.approx(statistics.fmean(inside), abs=1e-12)
+        assert row.vibration_rms_std == pytest.approx(statistics.stdev(inside) if len(inside) > 1 else 0, abs=1e-9)
+        assert (row.vibration_rms_max, row.vibration_rms_min) == (max(inside), min(inside))
+        assert row.avg_vibration_rms == pytest.approx(statistics.fmean(inside) * 2.0, abs=1e-12)
+        assert row.last_reading_ts == at(max(s for s in values if end - 120 <= s < end))
+        assert row.window_start == at(end - 120)
+
+
+@pytest.mark.parametrize("scattered", [True, False])
+def test_panes_equal_direct_form(site, scattered):
+    silver = site.silver()
+    direct, paned = window_features(silver), paned_window_features(silver, scattered=scattered)
+    keys = ["station_id", "window_end"]
+    numbers = [*FEATURES, *[f"avg_{s}" for s in SENSORS]]
+    both = direct.join(paned.select(*keys, F.col("n_readings").alias("n2"), *[F.col(c).alias(f"{c}_2") for c in numbers]),
+                       keys, "full")
+    gap = F.greatest(*[F.abs(F.col(c) - F.col(f"{c}_2")) for c in numbers])
+    result = both.agg(F.count("*").alias("n"), F.max(gap).alias("gap"),
+                      F.count_if(~F.col("n_readings").eqNullSafe(F.col("n2"))).alias("bad")).first()
+    assert result.n > 2000 and result.gap < 1e-9 and result.bad == 0
+
+
+def test_single_reading_has_zero_deviation_and_missing_values_do_not_count(spark):
+    df = _normal(spark, [reading("A", 5), reading("A", 15, acoustic_db=None)])
+    for form in (window_features, paned_window_features):
+        first = form(df).filter(F.col("window_end") == F.lit(at(10))).first()
+        assert first.vibration_rms_std == 0.0
+        last = form(df).filter(F.col("window_end") == F.lit(at(130))).first()
+        assert last.n_readings == 1 and last.acoustic_db_mean is None and last.acoustic_db_std == 0.0
+
+
+def test_constant_signal_far_from_nominal_has_no_deviation(spark):
+    df = _normal(spark, [reading("A", s, vibration_rms=0.74) for s in range(120)])
+    assert paned_window_features(df).agg(F.max("vibration_rms_std")).first()[0] < 1e-7
+
+
+def test_changed_attribute_splits_a_window(spark):
+    a = _normal(spark, [reading("A", 1)], ("A", "P1", "P1-A", "press"))
+    b = _normal(spark, [reading("A", 2)], ("A", "P2", "P2-A", "press"))
+    assert paned_window_features(a.union(b)).filter(F.col("window_end") == F.lit(at(10))).count() == 2
+
+
+def test_value_at_the_newest_reading(spark):
+    rows_ = [("A", at(s), float(100 - s), None if s % 2 else "seal_leak") for s in range(20)]
+    extra = spark.createDataFrame(rows_, "station_id string, ts timestamp, ttf_s double, mode string")
+    df = _normal(spark, [reading("A", s) for s in range(20)]).join(extra, ["station_id", "ts"])
+    for windows in (
+        window_features(df, ["ttf_s", "mode"]), paned_window_features(df, ["ttf_s", "mode"]),
+        paned_window_features(df, ["ttf_s", "mode"], domains={"mode": ("bearing_wear", "seal_leak")}),
+    ):
+        got = {r.window_end: (r.ttf_s_at_end, r.mode_at_end) for r in windows.collect()}
+        assert got[at(10)] == (91.0, None) and got[at(130)] == (81.0, None)
+    odd = df.filter(F.col("ts") < F.lit(at(19)))
+    coded = paned_window_features(odd, ["mode"], domains={"mode": ("seal_leak",)})
+    assert coded.filter(F.col("window_end") == F.lit(at(130))).first().mode_at_end == "seal_leak"
+
+
+def test_value_outside_its_domain_stops_the_job(spark):
+    df = _normal(spark, [reading("A", 1)]).withColumn("mode", F.lit("melted"))
+    with pytest.raises(Exception, match="outside its domain"):
+        paned_window_features(df, ["mode"], domains={"mode": ("seal_leak",)}).collect()
+
+
+def _window(spark, **values):
+    base = {**{f: 1.0 for f in FEATURES}, **{f"avg_{s}": 1.0 for s in SENSORS}, **values}
+    row = {"station_id": "P1-A01", "plant_id": "P1", "line_id": "P1-A", "station_type": "press", "criticality": "high",
+           "window_start": at(0), "window_end": at(120), "last_reading_ts": at(119), "n_readings": 120, **base}
+    return spark.createDataFrame([row])
+
+
+@pytest.mark.parametrize("probability, speed, band", [
+    (0.69995, 1.0, "HIGH"), (0.69994, 1.0, "ELEVATED"), (0.4, 1.0, "ELEVATED"), (0.39994, 1.0, "NORMAL"),
+    (None, 1.0, "NORMAL"), (0.99, 0.19, "DOWN"), (0.0, 0.2, "NORMAL"),
+])
+def test_bands_use_the_rounded_probability(spark, probability, speed, band):
+    def fixed(df):
+        return df.withColumn("failure_probability", F.round(F.lit(probability).cast("double"), 4))
+
+    scored = scoring.risk_scores(_window(spark, spindle_rpm_mean=speed), fixed)
+    assert scored.first().risk_band == band
+
+
+def test_top_signal_and_its_tie_break(spark):
+    row = scoring.risk_scores(_window(spark, acoustic_db_mean=1.25, cycle_time_s_mean=0.75)).first()
+    assert (row.top_signal, row.top_signal_deviation_pct) == ("cycle_time_s", 25.0)
+
+
+def test_what_if_moves_mean_max_min_but_not_deviation(spark):
+    seen = []
+
+    def spy(df):
+        seen.append(df)
+        return scoring.by_scorecard(df)
+
+    result = scoring.what_if(_window(spark), [("vibration_rms", 50.0), ("spindle_rpm", 50.0)], spy)
+    got = {r.sensor: r for r in result.collect()}
+    assert got["vibration_rms"].vibration_rms_mean == 1.5 and got["vibration_rms"].vibration_rms_std == 1.0
+    assert got["vibration_rms"].scenario_probability == pytest.approx(1 / (1 + math.exp(4)), abs=1e-4)
+    assert got["spindle_rpm"].scenario_probability == got["spindle_rpm"].current_probability
+    with pytest.raises(ValueError, match="unknown sensor"):
+        scoring.what_if(_window(spark), [("mood", 1.0)])
+
+
+def test_incomplete_windows_are_dropped_and_counted(spark):
+    df = _normal(spark, [reading("A", s) for s in range(120)])
+    windows = paned_window_features(df)
+    assert rows(clean.COMPLETE_WINDOW.drop(windows), "n_readings") == [(110,), (110,), (120,)]
+    assert clean.COMPLETE_WINDOW.summary(windows, "w").first().failed == windows.count() - 3

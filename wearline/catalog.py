@@ -72,7 +72,7 @@ def expectations_drop(s: Site) -> DataFrame:
     known = clean.normalize(clean.dedup(s.raw("sensor_readings")), s.raw("station_master"))
     return observability.rule_counts({
         "readings": (known, clean.VALID_READING),
-        "windows": (windows.paned_window_features(s.table("readings_clean"), co_locate=False), clean.COMPLETE_WINDOW),
+        "windows": (windows.paned_window_features(s.table("readings_clean"), scattered=False), clean.COMPLETE_WINDOW),
         "requests": (s.raw("work_order_requests").withColumn("status", F.lit("open")), clean.WORK_ORDER_DOMAIN),
         "commands": (s.raw("commands"), clean.COMMAND_DOMAIN),
     })
@@ -521,10 +521,7 @@ def score_spread_sample(s: Site) -> DataFrame:
 
 @query
 def what_if(s: Site) -> DataFrame:
-    """All stations under a table of scenarios, itself drawn from the sensors and four changes."""
-    scenarios = s.spark.range(1).select(
-        F.explode(F.array(*[F.lit(x) for x in SENSORS])).alias("sensor")
-    ).select("sensor", F.explode(F.array(*[F.lit(float(c)) for c in (-20, -5, 5, 20)])).alias("change_pct"))
+    scenarios = [(sensor, change) for sensor in SENSORS for change in (-20, -5, 5, 20)]
     return scoring.what_if(s.table("health_current").drop("failure_probability"), scenarios).select(
         "station_id", "sensor", "change_pct", "current_probability", "scenario_probability")
 

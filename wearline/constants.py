@@ -26,6 +26,7 @@ STATION_TYPES_BY_POSITION = (
     "press", "cnc_mill", "welder", "robot_arm",
     "conveyor", "cnc_mill", "welder", "press",
 )
+FAILURE_MODES = ("bearing_wear", "overheating", "seal_leak")
 # type -> nominal value per sensor, in the order of SENSORS
 NOMINAL = {
     "press": (2.0, 45, 30, 1200, 180, 78, 12),

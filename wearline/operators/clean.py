@@ -36,7 +36,10 @@ class Expectations:
         return result
 
     def drop(self, df: DataFrame) -> DataFrame:
-        return df.filter(self.passed())
+        """Keep what satisfies every rule. A filter drops NULL by itself, and plain rules can reach the scan."""
+        for rule in self.rules.values():
+            df = df.filter(rule)
+        return df
 
     def counters(self) -> list[Column]:
         return [

@@ -1,6 +1,6 @@
 """Turning window features into risk."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
@@ -49,12 +49,21 @@ def risk_scores(
     )
 
 
-def what_if(windows: DataFrame, scenarios: DataFrame, scorer: Scorer = by_scorecard) -> DataFrame:
-    """Every window under every scenario (sensor, change_pct): mean, max and min of that sensor move, its deviation
-    does not. `scenarios` is a short parameter table, joined to every window."""
+def what_if(
+    windows: DataFrame, scenarios: Sequence[tuple[str, float]], scorer: Scorer = by_scorecard
+) -> DataFrame:
+    """Every window under every scenario (sensor, change in percent): mean, max and min of that sensor move, its
+    deviation does not."""
+    unknown = {sensor for sensor, _ in scenarios} - set(SENSORS)
+    if unknown:
+        raise ValueError(f"unknown sensor: {', '.join(sorted(unknown))}")
     factor = 1 + F.col("change_pct") / 100
     base = scorer(windows).withColumnRenamed("failure_probability", "current_probability")
-    shifted = base.crossJoin(scenarios).withColumns({
+    cases = F.array(*[
+        F.struct(F.lit(sensor).alias("sensor"), F.lit(float(change)).alias("change_pct"))
+        for sensor, change in scenarios
+    ])
+    shifted = base.select("*", F.inline(cases)).withColumns({
         f"{s}_{stat}": F.when(F.col("sensor") == s, F.col(f"{s}_{stat}") * factor).otherwise(F.col(f"{s}_{stat}"))
         for s in SENSORS for stat in ("mean", "max", "min")
     })

@@ -54,10 +54,9 @@ def exposure_by_customer(exposure: DataFrame) -> DataFrame:
 
 
 def _per_failure(maintenance: DataFrame, line_programs: DataFrame) -> DataFrame:
-    average = maintenance.filter(F.col("event_type") == "corrective_repair").agg(F.avg("downtime_min").alias("dt"))
+    average = maintenance.filter(F.col("event_type") == "corrective_repair").agg(F.avg("downtime_min"))
     stop = F.greatest(F.lit(0.0), F.col("dt") - F.col("jis_buffer_min"))
-    # The average is one row by construction.
-    return line_programs.crossJoin(F.broadcast(average)).withColumns(
+    return line_programs.withColumn("dt", average.scalar()).withColumns(
         {"stop_min": stop, "charge": stop * F.col("line_stop_charge_usd_per_min")})
 
 

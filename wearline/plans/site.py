@@ -1,7 +1,5 @@
 """All tables of one site: logical inputs, and the derived ones that other results are built on."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +48,7 @@ class Site:
 
     def scores(self, silver: DataFrame | None = None, scorer: Scorer = by_scorecard) -> DataFrame:
         """From the inputs on, or over a silver table that is already stored by station and time."""
-        windows = paned_window_features(self.silver() if silver is None else silver, co_locate=silver is None)
+        windows = paned_window_features(self.silver() if silver is None else silver, scattered=silver is None)
         clocks = _clocks()
         return risk_scores(COMPLETE_WINDOW.drop(windows), scorer, "scorecard", clocks["features_at"],
                            clocks["scored_at"])
@@ -71,19 +69,18 @@ class Site:
         return by_scorecard(self.table("training_features"))
 
     def table(self, name: str) -> DataFrame:
+        station_hours = (F.col("station_id"), F.date_trunc("hour", "ts"))
         build, layout = {
-            "readings_clean": (self.silver, ("station_id", "ts")),
-            "risk_scores": (lambda: self.scores(self.table("readings_clean")), ("station_id", "window_end")),
-            "health_current": (lambda: self.health(self.table("risk_scores")), ("station_id",)),
-            "training_features": (self.training, ("station_id", "window_end")),
+            "readings_clean": (self.silver, {"cluster_by": ("station_id", "ts"), "spread_by": station_hours}),
+            "risk_scores": (
+                lambda: self.scores(self.table("readings_clean")), {"cluster_by": ("station_id", "window_end")}),
+            "health_current": (lambda: self.health(self.table("risk_scores")), {}),
+            "training_features": (self.training, {"cluster_by": ("station_id", "window_end")}),
         }[name]
-        return self._stored(name, build, layout)
-
-    def _stored(self, name: str, build: Callable[[], DataFrame], layout: tuple[str, ...]) -> DataFrame:
         if name not in self._built:
             label = "".join(c if c.isalnum() else "_" for c in self.inputs)
             path = workspace(self.spark, "tables", label, name)
-            overwrite(build(), path, *layout)
+            overwrite(build(), path, **layout)
             self._built[name] = path
         return self.spark.read.parquet(self._built[name])
 

@@ -78,8 +78,8 @@ def command_latency(commands: DataFrame) -> DataFrame:
 
 def station_grid(health: DataFrame, orders: DataFrame) -> DataFrame:
     """Latest state per station, its open orders and the age of its data against the newest reading of the fleet."""
-    newest = health.agg(F.max("last_reading_ts").alias("newest_ts"))
-    grid = health.join(open_orders_by_station(orders), "station_id", "left").crossJoin(F.broadcast(newest))
+    newest = health.agg(F.max("last_reading_ts")).scalar()
+    grid = health.join(open_orders_by_station(orders), "station_id", "left").withColumn("newest_ts", newest)
     return grid.select(
         *STATION_KEYS, "failure_probability", "risk_band", "top_signal", "top_signal_deviation_pct", "window_end",
         "last_reading_ts", "avg_vibration_rms", "avg_bearing_temp_c", "avg_motor_current_a",

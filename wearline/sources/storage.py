@@ -1,6 +1,8 @@
 """Reading and writing tables as Parquet folders."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
@@ -19,11 +21,19 @@ def read_stream(
     return reader.parquet(path)
 
 
-def overwrite(df: DataFrame, path: str, *cluster_by: str) -> None:
-    """Replace a table, schema included. With `cluster_by`, rows are range-partitioned and sorted, so that min/max
-    statistics let readers skip files. Name a second column (time) next to a key that may be very frequent."""
+def overwrite(df: DataFrame, path: str, cluster_by: Sequence[str] = (), spread_by: Sequence[Column] = ()) -> None:
+    """Replace a table, schema included.
+
+    `cluster_by` range-partitions and sorts the rows: min/max statistics let readers skip whole files. Name a second
+    column (time) next to a key that may be very frequent. `spread_by` hashes rows to files instead and sorts each
+    file by `cluster_by`: no sampling run, right for tables that are mostly read as a whole.
+    """
+    if spread_by:
+        df = df.repartition(*spread_by)
+    elif cluster_by:
+        df = df.repartitionByRange(*cluster_by)
     if cluster_by:
-        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+        df = df.sortWithinPartitions(*cluster_by)
     df.write.mode("overwrite").parquet(path)
 
 
