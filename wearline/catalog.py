@@ -353,7 +353,8 @@ def _order_facts(s: Site) -> DataFrame:
 @query
 def kpi_work_orders(s: Site) -> DataFrame:
     kpis = WORK_ORDERS.query(_order_facts(s), list(WORK_ORDERS.measures), by=["plant", "priority", "status"])
-    return _round(kpis, 9, "avg_risk_at_creation", "avg_minutes_to_complete")
+    exact = F.col("avg_risk_at_creation").cast("double")
+    return _round(kpis, 9, "avg_minutes_to_complete").withColumn("avg_risk_at_creation", exact)
 
 
 @query
@@ -361,7 +362,7 @@ def kpi_work_orders_by_cause(s: Site) -> DataFrame:
     kpis = WORK_ORDERS.query(
         _order_facts(s), ["work_orders", "avg_risk_at_creation"],
         by=["station_type", "risk_band_at_creation", "top_signal_at_creation"], where=F.col("created_date").isNotNull())
-    return _round(kpis, 9, "avg_risk_at_creation")
+    return kpis.withColumn("avg_risk_at_creation", F.col("avg_risk_at_creation").cast("double"))
 
 
 @query

@@ -109,7 +109,7 @@ WORK_ORDERS = MetricView(
         "work_orders": lambda: F.count(F.lit(1)),
         "open_work_orders": _count_where(_is("status", "open", "in_progress")),
         "completed_work_orders": _count_where(_is("status", "completed")),
-        "avg_risk_at_creation": lambda: F.avg(F.col("failure_probability").cast("double")),
+        "avg_risk_at_creation": lambda: F.avg("failure_probability"),
         "avg_minutes_to_complete": lambda: F.avg(F.when(
             _is("status", "completed")(),
             (F.unix_seconds("completed_at") - F.unix_seconds("created_at")) / 60.0)),

@@ -172,9 +172,9 @@ SELECT concat('H-', l_orderkey, '-', l_linenumber, '-', l_partkey) AS event_id,
             WHEN station_type = 'conveyor' OR l_partkey % 2 = 0 THEN 'bearing_wear' ELSE 'overheating' END
          AS failure_mode,
        CASE WHEN l_returnflag <> 'N' THEN concat('T', l_suppkey) END AS technician_id,
-       CASE l_returnflag WHEN 'N' THEN 0e0 WHEN 'R' THEN 45e0 + 27e-1 * l_quantity ELSE 15e0 + l_quantity / 2e0 END
-         AS downtime_min,
-       CASE l_returnflag WHEN 'N' THEN 0e0 ELSE l_extendedprice END AS parts_cost_usd,
+       CASE l_returnflag WHEN 'N' THEN 0e0 WHEN 'R' THEN 45e0 + 27e-1 * l_quantity + (l_partkey % 97) / 99991e0
+                         ELSE 15e0 + l_quantity / 2e0 + (l_partkey % 97) / 99991e0 END AS downtime_min,
+       CASE l_returnflag WHEN 'N' THEN 0e0 ELSE l_extendedprice + (l_partkey % 89) / 99991e0 END AS parts_cost_usd,
        CASE WHEN l_suppkey % 10 = 0 THEN 'app' ELSE 'history' END AS source
 FROM {lineitem} JOIN station_master ON station_idx = (l_orderkey * 7 + l_linenumber) % 96
 """)
