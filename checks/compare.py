@@ -58,7 +58,7 @@ def difference(actual: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> s
 
 
 def main(sf_dir: str, wanted: list[str], spark: SparkSession | None = None) -> int:
-    spark = spark or build_session("local[8]", **{"spark.driver.memory": "12g", "spark.ui.enabled": "false",
+    spark = spark or build_session("local[8]", **{"spark.driver.memory": "16g", "spark.ui.enabled": "false",
                                                   "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, statements, failures = connect(sf_dir), oracle.statements(), 0

@@ -131,7 +131,7 @@ def maintenance_events(s: Site) -> DataFrame:
 
 @query
 def repairs_by_type(s: Site) -> DataFrame:
-    return _round(maintenance.repairs_by_type(s.raw("maintenance_log"), s.raw("station_master")), 3,
+    return _round(maintenance.repairs_by_type(s.raw("maintenance_log"), s.raw("station_master")), 2,
                   "downtime_min", "parts_cost_usd")
 
 
@@ -144,7 +144,7 @@ def assign_technician(s: Site) -> DataFrame:
 @query
 def kpi_maintenance(s: Site) -> DataFrame:
     kpis = MAINTENANCE.query(s.maintenance(), list(MAINTENANCE.measures), by=["plant", "station_type"])
-    return _round(_round(kpis, 3, "downtime_min", "parts_cost_usd"), 9, "mttr_min", "preventive_share")
+    return _round(_round(kpis, 2, "downtime_min", "parts_cost_usd"), 9, "mttr_min", "preventive_share")
 
 
 @query
@@ -152,7 +152,7 @@ def kpi_maintenance_hourly(s: Site) -> DataFrame:
     kpis = MAINTENANCE.query(
         s.maintenance(), ["failures", "downtime_min", "stations_with_failures"],
         by=["event_date", "event_hour", "failure_mode", "criticality"], where=F.col("line").startswith("P1"))
-    return _round(kpis, 3, "downtime_min").withColumn("event_date", F.col("event_date").cast("string"))
+    return _round(kpis, 2, "downtime_min").withColumn("event_date", F.col("event_date").cast("string"))
 
 
 @query
@@ -175,12 +175,12 @@ def q_type_most_failures(s: Site) -> DataFrame:
 def q_mode_most_downtime(s: Site) -> DataFrame:
     per_mode = MAINTENANCE.query(
         s.maintenance(), ["downtime_min"], by=["failure_mode"], where=F.col("failure_mode").isNotNull())
-    return _round(per_mode.orderBy(F.col("downtime_min").desc(), "failure_mode").limit(1), 3, "downtime_min")
+    return _round(per_mode.orderBy(F.col("downtime_min").desc(), "failure_mode").limit(1), 2, "downtime_min")
 
 
 @query
 def q_cost_by_plant(s: Site) -> DataFrame:
-    return _round(MAINTENANCE.query(s.maintenance(), ["parts_cost_usd"], by=["plant"]), 3, "parts_cost_usd")
+    return _round(MAINTENANCE.query(s.maintenance(), ["parts_cost_usd"], by=["plant"]), 2, "parts_cost_usd")
 
 
 @query
@@ -204,7 +204,7 @@ def _exposure(s: Site) -> DataFrame:
 def dim_line_programs(s: Site) -> DataFrame:
     """Contract terms with the downtime that fell on each line."""
     per_line = s.maintenance().groupBy("line_id").agg(
-        F.count(F.lit(1)).alias("events"), F.round(F.sum("downtime_min"), 3).alias("downtime_min"))
+        F.count(F.lit(1)).alias("events"), F.round(F.sum("downtime_min"), 2).alias("downtime_min"))
     return s.raw("line_programs").join(per_line, "line_id")
 
 
@@ -267,13 +267,13 @@ def _risk_facts(s: Site) -> DataFrame:
 @query
 def kpi_risk(s: Site) -> DataFrame:
     kpis = RISK.query(_risk_facts(s), list(RISK.measures), by=["plant", "station_type"])
-    return _round(kpis, 9, "avg_failure_probability", "avg_sensor_to_score_s")
+    return _round(kpis, 11, "avg_failure_probability", "avg_sensor_to_score_s")
 
 
 @query
 def kpi_risk_trend(s: Site) -> DataFrame:
     recent = trailing(_risk_facts(s), "window_end", 900)
-    return _round(RISK.query(recent, ["avg_failure_probability", "scored_windows"], by=["plant", "score_minute"]), 9,
+    return _round(RISK.query(recent, ["avg_failure_probability", "scored_windows"], by=["plant", "score_minute"]), 11,
                   "avg_failure_probability")
 
 
@@ -282,7 +282,7 @@ def kpi_risk_by_plant_recent(s: Site) -> DataFrame:
     recent = trailing(_risk_facts(s), "window_end", 600)
     kpis = RISK.query(recent, ["stations_at_high_risk", "avg_failure_probability", "avg_sensor_to_score_s",
                                "latest_score_time"], by=["plant"])
-    return _round(kpis, 9, "avg_failure_probability", "avg_sensor_to_score_s")
+    return _round(kpis, 11, "avg_failure_probability", "avg_sensor_to_score_s")
 
 
 @query
