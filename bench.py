@@ -10,7 +10,7 @@ import sys
 import time
 
 from wearline import catalog
-from wearline.plans.site import open_site
+from wearline.plans.site import STORED, open_site
 from wearline.session import build_session
 
 HEADLINE = (
@@ -19,7 +19,6 @@ HEADLINE = (
     "assign_technician", "create_work_orders", "what_if", "latency_hops", "duplicate_audit", "dq_rollup",
     "scorecard_kpis", "value_sensitivity", "grouped_recurrence", "silver_stream", "risk_scores_stream", "score_gbt",
 )
-STORED = ("readings_clean", "risk_scores", "health_current", "training_features")
 
 
 def main() -> None:

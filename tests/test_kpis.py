@@ -156,3 +156,33 @@ def test_as_of_reaches_the_scan(spark, site):
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = observability.station_history(scores, "P1-A04", as_of=at(60))._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(station_id,P1-A04)" in plan and "GreaterThan(window_end" in plan
+
+
+def test_views_and_functions_for_sql_users(spark, site):
+    names = site.register_views()
+    assert {"risk_scores", "health_current", "maintenance_events", "delivery_exposure", "technicians"} <= set(names)
+    top = spark.sql("SELECT risk_band, count(*) AS n FROM health_current GROUP BY ALL")
+    assert top.agg(F.sum("n")).first()[0] == site.table("health_current").count()
+    seen = spark.sql("SELECT DISTINCT home_plant_id, mask_personal(email, false) AS email FROM technicians "
+                     "WHERE may_see_plant(home_plant_id, array('P1'), false)").collect()
+    assert [tuple(r) for r in seen] == [("P1", "***redacted***")]
+
+
+def test_workspace_is_under_the_shared_folder(spark):
+    from wearline.session import workspace
+
+    class Context:
+        applicationId, master = "app-1", "spark://cluster"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        def __init__(self, folder):
+            self.conf = {"spark.checkpoint.dir": folder}
+
+    assert workspace(Session("hdfs:///shared/"), "t") == "hdfs:///shared/wearline/app-1/t"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        workspace(Session(None))

@@ -196,8 +196,7 @@ def q_failures_plant(s: Site) -> DataFrame:
 # -- delivery exposure -------------------------------------------------------------------------------------------
 
 def _exposure(s: Site) -> DataFrame:
-    return exposure.delivery_exposure(
-        s.table("health_current"), s.maintenance(), s.raw("line_programs"), s.raw("process_steps"))
+    return s.exposure()
 
 
 @query

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.functions.columns import mask
@@ -22,6 +22,14 @@ def masked(df: DataFrame, private: Sequence[str], revealed: bool) -> DataFrame:
     return df.select(*[mask(c, revealed).alias(c) if c in private else F.col(c) for c in df.columns])
 
 
+def register_functions(spark: SparkSession) -> None:
+    """The same two rules for SQL users. Whether a reader may see personal data, and which plants, are arguments."""
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION mask_personal(v STRING, revealed BOOLEAN) RETURNS STRING
+                 RETURN CASE WHEN revealed THEN v ELSE '***redacted***' END""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION may_see_plant(plant STRING, plants ARRAY<STRING>, exempt BOOLEAN)
+                 RETURNS BOOLEAN RETURN exempt OR array_contains(plants, plant)""")
+
+
 def grants_per_principal(plant_access: DataFrame) -> DataFrame:
     """Plants of each principal as one sorted, comma-separated text. A principal has no more entries than plants."""
     return plant_access.select("principal", "plant_id").distinct().groupBy("principal").agg(

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from wearline.functions.columns import plus_ms, station_position
 from wearline.operators.clean import COMPLETE_WINDOW, clean
 from wearline.operators.scoring import Scorer, by_scorecard, risk_scores
+from wearline.operators.security import register_functions
 from wearline.operators.state import latest_per_key
 from wearline.operators.windows import paned_window_features
+from wearline.plans.exposure import delivery_exposure
 from wearline.plans.maintenance import maintenance_events
 from wearline.plans.training import training_features
 from wearline.plans.work_orders import work_orders_current
@@ -27,6 +29,9 @@ def _clocks() -> dict[str, Column]:
     }
 
 
+STORED = ("readings_clean", "risk_scores", "health_current", "training_features")
+
+
 class Site:
     """Lazy tables over one folder of inputs.
 
@@ -68,6 +73,21 @@ class Site:
     def scored_training(self) -> DataFrame:
         return by_scorecard(self.table("training_features"))
 
+    def exposure(self) -> DataFrame:
+        return delivery_exposure(
+            self.table("health_current"), self.maintenance(), self.raw("line_programs"), self.raw("process_steps"))
+
+    def register_views(self) -> list[str]:
+        """All tables as temporary views for SQL. Derived tables are stored first; the others stay lazy."""
+        views = {name: self.raw(name) for name in fixtures.names() if name != "telemetry"}
+        views |= {name: self.table(name) for name in STORED}
+        views |= {"maintenance_events": self.maintenance(), "work_orders_current": self.work_orders(),
+                  "delivery_exposure": self.exposure()}
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        register_functions(self.spark)
+        return sorted(views)
+
     def table(self, name: str) -> DataFrame:
         station_hours = (F.col("station_id"), F.date_trunc("hour", "ts"))
         build, layout = {

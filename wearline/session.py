@@ -33,6 +33,8 @@ def workspace(spark: SparkSession, *parts: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="wearline-")
         spark.sparkContext.setCheckpointDir(root)
     return "/".join([root.rstrip("/"), "wearline", spark.sparkContext.applicationId, *parts])

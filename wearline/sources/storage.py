@@ -25,11 +25,13 @@ def overwrite(df: DataFrame, path: str, cluster_by: Sequence[str] = (), spread_b
     """Replace a table, schema included.
 
     `cluster_by` range-partitions and sorts the rows: min/max statistics let readers skip whole files. Name a second
-    column (time) next to a key that may be very frequent. `spread_by` hashes rows to files instead and sorts each
-    file by `cluster_by`: no sampling run, right for tables that are mostly read as a whole.
+    column (time) next to a key that may be very frequent. `spread_by` rebalances rows by hash instead, with AQE
+    splitting oversized and joining undersized partitions, and sorts each file by `cluster_by`: no sampling run, right
+    for tables that are mostly read as a whole.
     """
     if spread_by:
-        df = df.repartition(*spread_by)
+        parts = {f"_spread_{i}": c for i, c in enumerate(spread_by)}
+        df = df.withColumns(parts).hint("rebalance", *parts).drop(*parts)  # the hint takes plain columns only
     elif cluster_by:
         df = df.repartitionByRange(*cluster_by)
     if cluster_by:
