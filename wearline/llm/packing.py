@@ -20,7 +20,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +113,7 @@ class _Run:
         self.parts.append(closing)
         self.tokens = here
 
-    def pieces(self, first: int, window: int) -> tuple[pd.DataFrame, int]:
+    def pieces(self, first: int, window: int, kind: pa.DataType) -> tuple[pa.RecordBatch, int]:
         """One row per piece, and the number of sequences; sequences count from `first`."""
         cuts = np.array(_tail(best_cuts(self.at, self.penalty, window), window))
         content = memoryview(b"".join(self.parts))
@@ -123,33 +123,34 @@ class _Run:
         doc = np.searchsorted(starts, begin, side="right") - 1
         sequence = np.searchsorted(cuts, begin, side="right") - 1
         lengths = np.diff(np.append(starts, self.tokens))
-        frame = pd.DataFrame({
-            "doc_id": pd.array([self.ids[d] for d in doc], dtype=object), "start": begin - starts[doc],
+        batch = pa.record_batch({
+            "doc_id": pa.array([self.ids[d] for d in doc], kind), "start": begin - starts[doc],
             "length": end - begin, "doc_tokens": lengths[doc], "sequence_id": first + sequence,
             "offset": begin - cuts[sequence],
-            "ids": [bytes(content[4 * b:4 * e]) for b, e in zip(begin.tolist(), end.tolist())]})
-        return frame, len(cuts) - 1
+            "ids": pa.array([content[4 * b:4 * e] for b, e in zip(begin.tolist(), end.tolist())], pa.binary())})
+        return batch, len(cuts) - 1
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text",
                    window: int = WINDOW, closing_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32 bytes)."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_path)
         closing = closing_id.to_bytes(4, "little")
         first = TaskContext.get().partitionId() << PARTITION_BITS
-        run = _Run()
+        run, kind = _Run(), None
         for batch in batches:
-            for doc_id, content in zip(batch["doc_id"].array, batch["text"].array):
-                run.add(None if pd.isna(doc_id) else doc_id, tokenizer.sentences(content), closing)
+            kind = batch.column(0).type
+            for doc_id, content in zip(*(c.to_pylist() for c in batch.columns)):
+                run.add(doc_id, tokenizer.sentences(content), closing)
                 if run.tokens >= RUN_TOKENS:
-                    frame, sequences = run.pieces(first, window)
-                    yield frame
+                    packed, sequences = run.pieces(first, window, kind)
+                    yield packed
                     first, run = first + sequences, _Run()
         if run.ids:
-            yield run.pieces(first, window)[0]
+            yield run.pieces(first, window, kind)[0]
 
     rows = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(pack, SCHEMA.format(kind))
+    return rows.mapInArrow(pack, SCHEMA.format(kind))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wearline.llm.chat import format_conversations, read_back
 from wearline.llm.common import table
+from wearline.llm.fingerprints import neighbour_fingerprints
+from wearline.llm.licenses import scan_licenses
 from wearline.llm.packing import pack_documents
 from wearline.llm.sharding import assign_shards
+from wearline.llm.url_filters import Rule, host_of, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +25,51 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The added conversation, both turns alike.
+ADDED_ID, ADDED_TEXT = -7, "\\### Assistant: </turn> ok"
+#: The rules of the URL query.
+URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"),
+             Rule("allow", "org", "/fr/")]
+#: Words of host labels that put a host on the query's block list.
+BLOCKED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(ADDED_ID, 0, "user", ADDED_TEXT), (ADDED_ID, 1, "assistant", ADDED_TEXT)],
+                                  turns.schema)
+    coding = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return read_back(format_conversations(turns.unionByName(added), *coding), *coding)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    words = "|".join(BLOCKED_WORDS)
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
+    return judge_urls(pages, URL_RULES, hosts.where(F.col("host").rlike(rf"(^|[.-])({words})([.-]|$)")))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = neighbour_fingerprints(table(spark, sf_dir, "documents"))
+    return compared.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint",
+                           "edited_fingerprint", "near_edited", "near_next")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_licenses(table(spark, sf_dir, "documents"))
+
+    def listed(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return scanned.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"), F.array_max("base.word").alias("last_word"),
+        listed(F.col("base.label")).alias("base_labels"),
+        listed(F.concat("base.label", "spans.label")).alias("labels"), "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -33,7 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op6_sharding, op10_packing)}
+    return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op6_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
