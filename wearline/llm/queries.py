@@ -11,6 +11,7 @@ from wearline.llm.chat import format_conversations, read_back
 from wearline.llm.common import table
 from wearline.llm.fingerprints import neighbour_fingerprints
 from wearline.llm.licenses import scan_licenses
+from wearline.llm.near_dedup import near_duplicates
 from wearline.llm.packing import pack_documents
 from wearline.llm.sharding import assign_shards
 from wearline.llm.url_filters import Rule, host_of, judge_urls
@@ -75,6 +76,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
@@ -82,7 +87,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op6_sharding, op10_packing)}
+    return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op6_sharding, op8_near_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
