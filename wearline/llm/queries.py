@@ -11,8 +11,10 @@ from wearline.llm.chat import format_conversations, read_back
 from wearline.llm.common import table
 from wearline.llm.fingerprints import neighbour_fingerprints
 from wearline.llm.licenses import scan_licenses
+from wearline.llm.mixing import copies, mix_to_targets
 from wearline.llm.near_dedup import near_duplicates
 from wearline.llm.packing import pack_documents
+from wearline.llm.quality import score_documents, train
 from wearline.llm.sharding import assign_shards
 from wearline.llm.url_filters import Rule, host_of, judge_urls
 
@@ -31,6 +33,8 @@ ADDED_ID, ADDED_TEXT = -7, "\\### Assistant: </turn> ok"
 #: The rules of the URL query.
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"),
              Rule("allow", "org", "/fr/")]
+#: Shares of tokens that the mixing query aims at.
+MIX_TARGETS = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
 #: Words of host labels that put a host on the query's block list.
 BLOCKED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
 
@@ -76,10 +80,31 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "content_score", "form_score", "quality_score", "accepted")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents by domain: toxic, else low quality, else clean."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixture = mix_to_targets(docs, domains(spark, sf_dir), MIX_TARGETS)
+    return mixture.rows.select(
+        "doc_id", F.col("_tokens").alias("tokens"),
+        *(F.get("_p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(mixture.domains)), F.col("_rate").alias("rate"),
+        copies(F.col("_rate"), F.col("doc_id")).alias("copies"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
@@ -87,7 +112,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op6_sharding, op8_near_dedup, op10_packing)}
+    return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op6_sharding, op7_quality,
+                                    op8_near_dedup, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
