@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from wearline.llm.common import text_or_empty
 
 COORDINATES = 128
 #: Samples a worker remembers, one row of coordinates for each word and weight.
-REMEMBERED = 60_000
+REMEMBERED = 100_000
+#: Terms whose samples are drawn at once: their arrays stay in a core's cache.
+IN_CACHE = 256
 #: Documents whose samples are drawn together.
 TOGETHER = 128
 #: Rows of a block of neighbouring ids, on average.
@@ -51,23 +54,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _uniform(seed: np.ndarray, draw: int) -> np.ndarray:
-    bits = _mix(seed + np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)
-    return (bits.astype(np.float64) + 0.5) * 2.0 ** -53
+def _draw(seed: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers in (0, 1) of 32 bits each."""
+    bits = _mix(seed + np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    low = bits & np.uint64(0xFFFFFFFF)
+    bits >>= np.uint64(32)
+    return (bits + 0.5) * 2.0 ** -32, (low + 0.5) * 2.0 ** -32
 
 
 def samples(terms: list[tuple[str, float]], coordinates: int = COORDINATES) -> np.ndarray:
     """ln(a) of each weighted term in each coordinate."""
     keys = np.frombuffer(b"".join([hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
                                    for w, _ in terms]), dtype="<u8")
-    weight = np.array([w for _, w in terms], dtype=np.float64)[:, None]
+    weight = np.log(np.array([w for _, w in terms], dtype=np.float64))[:, None]
     places = np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-    seed = _mix(keys[:, None] + places[None, :])
-    r = -np.log(_uniform(seed, 1) * _uniform(seed, 2))
-    c = -np.log(_uniform(seed, 3) * _uniform(seed, 4))
-    b = _uniform(seed, 5)
-    t = np.floor(np.log(weight) / r + b)
-    return np.log(c) - r * (t - b) - r
+    out = np.empty((len(terms), coordinates))
+    for at in range(0, len(terms), IN_CACHE):
+        part = slice(at, at + IN_CACHE)
+        seed = _mix(keys[part, None] + places[None, :])
+        one, two = _draw(seed, 1)
+        r = -np.log(one * two)
+        one, two = _draw(seed, 2)
+        c = -np.log(one * two)
+        b, _ = _draw(seed, 3)
+        t = np.floor(weight[part] / r + b)
+        out[part] = np.log(c) - r * (t - b) - r
+    return out
 
 
 class Sketcher:
@@ -79,22 +91,18 @@ class Sketcher:
         self._table = np.empty((REMEMBERED, coordinates))
 
     def _rows(self, documents: list[list]) -> np.ndarray:
-        missing = {term for terms in documents for term in terms if term not in self._row}
+        wanted = set().union(*documents)
+        missing = wanted.difference(self._row)
         if len(self._row) + len(missing) > len(self._table):
             self._row.clear()
-            missing = {term for terms in documents for term in terms}
+            missing = wanted
             if len(missing) > len(self._table):  # a very long document: room for all of it
                 self._table = np.empty((len(missing), self.coordinates))
         if missing:
-            new = sorted(missing)
-            first = len(self._row)
-            for at in range(0, len(new), 4096):
-                part = new[at:at + 4096]
-                self._table[first + at:first + at + len(part)] = samples(part, self.coordinates)
+            first, new = len(self._row), list(missing)
+            self._table[first:first + len(new)] = samples(new, self.coordinates)
             self._row.update(zip(new, range(first, first + len(new))))
-        find = self._row.__getitem__
-        return np.fromiter((find(term) for terms in documents for term in terms), dtype=np.int64,
-                           count=sum(map(len, documents)))
+        return np.array(list(map(self._row.__getitem__, chain.from_iterable(documents))), dtype=np.int64)
 
     def signatures(self, documents: list[Counter]) -> list[np.ndarray | None]:
         """16 bits per coordinate; None for a document without terms."""
