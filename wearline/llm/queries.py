@@ -13,6 +13,7 @@ from wearline.llm.fingerprints import neighbour_fingerprints
 from wearline.llm.licenses import scan_licenses
 from wearline.llm.mixing import copies, mix_to_targets
 from wearline.llm.near_dedup import near_duplicates
+from wearline.llm.neighbours import nearest
 from wearline.llm.packing import pack_documents
 from wearline.llm.quality import score_documents, train
 from wearline.llm.sharding import assign_shards
@@ -75,6 +76,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.concat("base.label", "spans.label")).alias("labels"), "score")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -112,8 +117,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op6_sharding, op7_quality,
-                                    op8_near_dedup, op9_mixing, op10_packing)}
+    return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op5_neighbours,
+                                    op6_sharding, op7_quality, op8_near_dedup, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
