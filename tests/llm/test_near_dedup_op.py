@@ -125,3 +125,19 @@ def test_empty_table_and_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (102, 103), (200, 200)]
     labels = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.label for r in labels} == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 104)}
+
+
+def test_all_pairs_at_once_equal_pairs_one_by_one(monkeypatch):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2 ** 62, 150).astype(np.uint64)
+    sets = [np.empty(0, np.uint64), np.unique(base), np.unique(base)]
+    for _ in range(80):
+        copy, changed = base.copy(), rng.integers(0, 14)
+        copy[rng.choice(150, changed, False)] = rng.integers(0, 2 ** 62, changed)
+        sets.append(np.unique(copy))
+    one_by_one = np.array([[nd.similar(a, b, 85) for b in sets] for a in sets])
+    for columns in (7, 8192):
+        monkeypatch.setattr(nd, "COLUMNS", columns)
+        found = nd.all_similar(sets, 85)
+        apart = ~np.eye(len(sets), dtype=bool)
+        assert (found[apart] == one_by_one[apart]).all() and found[apart].any() and not found[apart].all()

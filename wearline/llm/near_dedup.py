@@ -8,8 +8,8 @@ share of equal bins is concentrated as for t independent samples.
 Candidates. Bands of `rows` bins; the number of bands makes the chance to miss a pair at the threshold at most `miss`.
 Equal sets are one node from the start. In each bucket all members are compared with one leader, on their full sets;
 links give components. A bucket whose other members still lie in different components gets another leader, from the
-largest component there, and after `LEADERS` leaders the rest of it is compared block by block, pair by pair across
-components. So no link that shares a bucket is lost, while a bucket of one component costs one comparison per member.
+largest component there, and after `LEADERS` leaders the rest of it is compared block by block, all pairs of two blocks
+by one matrix product, and links across components are kept. So no link that shares a bucket is lost, while a bucket of one component costs one comparison per member.
 
 Memory and skew. Buckets are joined with their leaders (Spark splits large ones), members of a leader are dealt over
 many tasks and streamed past the leader's set. Only documents that share a bucket with another have their sets stored.
@@ -36,9 +36,10 @@ from wearline.llm.components import components
 ROWS = 5
 MISS = 1e-6
 #: Leaders of a bucket before its rest is compared in blocks.
-LEADERS = 3
-#: Members of one block.
-BLOCK = 256
+LEADERS = 2
+#: Members of one block, and elements whose presence is multiplied at once.
+BLOCK = 384
+COLUMNS = 8192
 #: Tasks over which the members of one leader are dealt.
 SALTS = 64
 #: Words a worker remembers the hashes of.
@@ -125,6 +126,29 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def all_similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For all pairs of sets at once, whether they are similar: exact counts of common elements by matrix products.
+
+    Elements of one set alone cannot be common and are left out; the others are taken `COLUMNS` at a time.
+    """
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        here = (column >= at) & (column < at + COLUMNS)
+        holds = np.zeros((len(sets), min(COLUMNS, len(shared) - at)), dtype=np.float32)
+        holds[row[here], column[here] - at] = 1
+        common += holds @ holds.T  # whole numbers below 2^24: exact
+    both = sizes[:, None] + sizes[None, :] - common
+    return (100.0 * common.astype(np.float64) >= percent * both) & (sizes > 0)[:, None]
+
+
 def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands) of every row; the last two are null for empty sets."""
 
@@ -198,7 +222,7 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         node, label, own = (group.column(c).to_pylist() for c in ("node", "label", "own"))
-        values = [np.frombuffer(e.as_buffer(), dtype=np.uint64) for e in group.column("elements")]
+        linked = all_similar([np.frombuffer(e.as_buffer(), dtype=np.uint64) for e in group.column("elements")], percent)
         root = {x: x for x in label}
 
         def find(x: int) -> int:
@@ -209,9 +233,8 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         a, b = [], []
         for p in range(len(node)):
-            for q in range(p):
-                if (i == j or own[p] != own[q]) and find(label[p]) != find(label[q]) and similar(
-                        values[p], values[q], percent):
+            for q in np.flatnonzero(linked[p, :p]).tolist():
+                if (i == j or own[p] != own[q]) and find(label[p]) != find(label[q]):
                     root[find(label[p])] = find(label[q])
                     a.append(node[p])
                     b.append(node[q])
