@@ -28,8 +28,6 @@ DAY = 86400
 
 def _prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if spark.sparkContext.master.startswith("local"):  # a cluster brings its own setting
-        spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
 
 
 def query(build: Callable[[Site], DataFrame]) -> Callable[[Site], DataFrame]:
@@ -151,7 +149,7 @@ def kpi_maintenance(s: Site) -> DataFrame:
 def kpi_maintenance_hourly(s: Site) -> DataFrame:
     kpis = MAINTENANCE.query(
         s.maintenance(), ["failures", "downtime_min", "stations_with_failures"],
-        by=["event_date", "event_hour", "failure_mode", "criticality"], where=F.col("line").startswith("P1"))
+        by=["event_date", "event_hour", "failure_mode", "criticality"])
     return _round(kpis, 2, "downtime_min").withColumn("event_date", F.col("event_date").cast("string"))
 
 
@@ -408,8 +406,8 @@ def command_history(s: Site) -> DataFrame:
 
 @query
 def work_order_audit(s: Site) -> DataFrame:
-    changes = s.raw("work_order_changes").filter(F.col("station_id") == STATION)
-    return _plain(changes.orderBy("lsn").select(
+    """Every change in log order."""
+    return _plain(s.raw("work_order_changes").orderBy("lsn", "change_type").select(
         "change_type", "lsn", "changed_at", "work_order_id", "station_id", "status", "priority",
         "failure_probability"))
 

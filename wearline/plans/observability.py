@@ -181,8 +181,8 @@ def commit_writers(commits: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("commits"), F.min("ts").alias("first_commit"), F.max("ts").alias("last_commit"))
 
 
-def lineage_rollup(edges: DataFrame, schemas: tuple[str, ...] = ("core.", "ops.")) -> DataFrame:
-    """Edges that start or end in one of the schemas."""
+def lineage_rollup(edges: DataFrame, schemas: tuple[str, ...] = ("",)) -> DataFrame:
+    """Edges that start or end in one of the schemas (name prefixes; all by default)."""
     def inside(column: str) -> Column:
         hit = F.lit(False)
         for schema in schemas:

@@ -1,6 +1,9 @@
 """All tables of one site: logical inputs, and the derived ones that other results are built on."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wearline.functions.columns import plus_ms, station_position
@@ -29,6 +32,8 @@ def _clocks() -> dict[str, Column]:
     }
 
 
+#: Fixed value: a station whose newest window is older than this is not shown as current.
+FRESH_S = 600
 STORED = ("readings_clean", "risk_scores", "health_current", "training_features")
 
 
@@ -58,8 +63,15 @@ class Site:
         return risk_scores(COMPLETE_WINDOW.drop(windows), scorer, "scorecard", clocks["features_at"],
                            clocks["scored_at"])
 
-    def health(self, scores: DataFrame | None = None) -> DataFrame:
-        return latest_per_key(self.scores() if scores is None else scores, ["station_id"], "window_end", "scored_at")
+    def health(self, scores: DataFrame | None = None, as_of: datetime | None = None) -> DataFrame:
+        """Latest row per station, without stations that have been silent for `FRESH_S` before `as_of`.
+
+        Without an `as_of`, now is the newest window of all: a window over one row per station.
+        """
+        latest = latest_per_key(self.scores() if scores is None else scores, ["station_id"], "window_end", "scored_at")
+        now = F.max("window_end").over(Window.partitionBy()) if as_of is None else F.lit(as_of)
+        fresh = latest.withColumn("_now", now).where(F.col("window_end") > F.col("_now") - F.expr(f"INTERVAL {FRESH_S} SECOND"))
+        return fresh.drop("_now")
 
     def maintenance(self) -> DataFrame:
         return maintenance_events(self.raw("maintenance_log"), self.raw("station_master"))
@@ -98,7 +110,7 @@ class Site:
             "training_features": (self.training, {"cluster_by": ("station_id", "window_end")}),
         }[name]
         if name not in self._built:
-            label = "".join(c if c.isalnum() else "_" for c in self.inputs)
+            label = hashlib.sha256(self.inputs.encode()).hexdigest()[:16]
             path = workspace(self.spark, "tables", label, name)
             overwrite(build(), path, **layout)
             self._built[name] = path

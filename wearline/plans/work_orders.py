@@ -1,11 +1,14 @@
 """Work orders and commands: creation, completion, audit, backlog."""
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.constants import STATION_KEYS
 from wearline.functions.columns import ms_between, text_or
 from wearline.operators.clean import WORK_ORDER_DOMAIN
+from wearline.operators.recent import as_of_column
 from wearline.operators.state import current_from_changes
 
 _LIVE_COLUMNS = (
@@ -32,13 +35,13 @@ def create_work_orders(requests: DataFrame, health: DataFrame) -> tuple[DataFram
     """(accepted orders, rejected requests with a reason).
 
     An order takes over the station's latest risk. Requests for a station without any, or outside the allowed
-    priorities, are rejected. A request without a text gets one from the signal to blame.
+    priorities, are rejected. A request without a priority gets P2, one without a text gets it from the signal to blame.
     """
     station = health.select("station_id", "plant_id", "line_id", "failure_probability", "risk_band", "top_signal")
     known = F.col("plant_id").isNotNull()
     checked = (
         requests.join(station, "station_id", "left")
-        .withColumn("status", F.lit("open"))
+        .withColumns({"status": F.lit("open"), "priority": F.coalesce("priority", F.lit("P2"))})
         .withColumn("reason", F.when(~known, "unknown station").when(~WORK_ORDER_DOMAIN.passed(), "invalid request"))
     )
     accepted = checked.filter(F.col("reason").isNull()).select(
@@ -76,13 +79,14 @@ def command_latency(commands: DataFrame) -> DataFrame:
         F.round(ms_between("requested_at", "applied_at") / 1000.0, 2).alias("seconds_to_apply"))
 
 
-def station_grid(health: DataFrame, orders: DataFrame) -> DataFrame:
-    """Latest state per station, its open orders and the age of its data against the newest reading of the fleet."""
-    newest = health.agg(F.max("last_reading_ts")).scalar()
-    grid = health.join(open_orders_by_station(orders), "station_id", "left").withColumn("newest_ts", newest)
+def station_grid(health: DataFrame, orders: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """Latest state per station, its open orders, and one age for all: now (the newest window by default) minus the
+    newest reading shown."""
+    newest, now = health.agg(F.max("last_reading_ts")).scalar(), as_of_column(health, "window_end", as_of)
+    grid = health.join(open_orders_by_station(orders), "station_id", "left").withColumns({"newest_ts": newest, "now": now})
     return grid.select(
         *STATION_KEYS, "failure_probability", "risk_band", "top_signal", "top_signal_deviation_pct", "window_end",
         "last_reading_ts", "avg_vibration_rms", "avg_bearing_temp_c", "avg_motor_current_a",
         "avg_hydraulic_pressure_bar",
         F.coalesce("open_work_orders", F.lit(0)).alias("open_work_orders"),
-        F.round(ms_between("last_reading_ts", "newest_ts") / 1000.0, 1).alias("data_age_s"))
+        F.round(ms_between("newest_ts", "now") / 1000.0, 1).alias("data_age_s"))

@@ -30,26 +30,9 @@ class Dialect:
         return re.sub(r"\{(\w+)\}", lambda m: self.table.format(name=m[1]), sql)
 
 
-def spark_dialect(spark: SparkSession, sf_dir: str) -> Dialect:
-    """Driver tables are read in place. A small table comes as one Parquet row group, hence as one task: its few
-    columns are then spread over the cores. Tables with enough splits of their own are left as they are."""
-    cores = spark.sparkContext.defaultParallelism
-    splits = _splits(spark, f"{sf_dir}/orders.parquet")
-    hint = f"/*+ REPARTITION({cores}) */ " if splits < cores else ""
-    return Dialect(
-        f"(SELECT {hint}* FROM parquet.`{sf_dir}/{{name}}.parquet`)",
-        "LATERAL VIEW explode(sequence(0, {last})) fan AS j",
-    )
-
-
-_KNOWN_SPLITS: dict[tuple[str, str], int] = {}
-
-
-def _splits(spark: SparkSession, path: str) -> int:
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _KNOWN_SPLITS:
-        _KNOWN_SPLITS[key] = spark.read.parquet(path).rdd.getNumPartitions()
-    return _KNOWN_SPLITS[key]
+def spark_dialect(sf_dir: str) -> Dialect:
+    """Driver tables are read in place."""
+    return Dialect(f"parquet.`{sf_dir}/{{name}}.parquet`", "LATERAL VIEW explode(sequence(0, {last})) fan AS j")
 
 
 CHECK_DIALECT = Dialect("{name}", "CROSS JOIN unnest(range(0, {n})) AS fan(j)")
@@ -151,6 +134,7 @@ FROM (
 ) faulty
 """)
 
+# Which failure mode belongs to a station type, here and in the maintenance log.
 _table("history_readings", ("telemetry",), f"""
 SELECT station_id, ts, {_SENSOR_LIST}, ttf_s,
        CASE WHEN ttf_s IS NULL THEN NULL WHEN station_type = 'press' THEN 'seal_leak'
@@ -224,7 +208,7 @@ FROM (
 # Orders that an operator asks for and later reports done; both refer to stations of the master or to unknown ones.
 _table("work_order_requests", ("station_master",), """
 SELECT o_orderkey AS request_id, CASE WHEN o_custkey % 97 = 5 THEN 'P9-Z09' ELSE station_id END AS station_id,
-       CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'P1' WHEN '2' THEN 'P2' WHEN '3' THEN 'P3' WHEN '4' THEN 'P2'
+       CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'P1' WHEN '2' THEN 'P2' WHEN '3' THEN 'P3' WHEN '4' THEN NULL
             ELSE 'P9' END AS priority,
        CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('request ', o_orderkey) END AS description,
        concat('user-', o_custkey % 50) AS created_by, CAST(o_orderdate AS TIMESTAMP) AS requested_at
@@ -360,4 +344,4 @@ def ctes(dialect: Dialect, *wanted: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One logical table as a lazy DataFrame over the driver's Parquet files."""
-    return spark.sql(f"WITH {ctes(spark_dialect(spark, sf_dir), name)} SELECT * FROM {name}")
+    return spark.sql(f"WITH {ctes(spark_dialect(sf_dir), name)} SELECT * FROM {name}")
