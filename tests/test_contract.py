@@ -9,9 +9,9 @@ from checks.compare import connect, difference
 from conftest import SF
 from wearline import catalog
 
-ROWS_ONLY = {"stream_progress", "time_split", "train_gbt", "score_gbt", "model_metrics_gbt", "grouped_recurrence"}
+ROWS_ONLY = {"time_split", "train_gbt", "score_gbt", "model_metrics_gbt", "grouped_recurrence"}
 SLOW = {"silver_stream", "risk_scores_stream", "health_current_stream", "serving_snapshot", "late_data_audit",
-        "stream_progress", "score_consistency", "train_gbt", "score_gbt", "model_metrics_gbt"}
+        "stream_progress", "stream_flow_rollup", "score_consistency", "train_gbt", "score_gbt", "model_metrics_gbt"}
 
 
 def test_every_query_has_sql_or_is_known_not_to():
@@ -44,5 +44,5 @@ def test_library_holds_no_forbidden_calls():
 
 
 def test_streams_agree_with_their_sql(spark, con):
-    for name in ("risk_scores_stream", "late_data_audit"):
+    for name in ("risk_scores_stream", "late_data_audit", "stream_progress", "stream_flow_rollup"):
         assert difference(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) == ""

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from builders import at, reading, readings, rows, station_master
 from wearline.operators.state import latest_per_key
 from wearline.plans import observability
+from wearline.plans.observability import rows_written
 from wearline.schemas import SENSOR_READINGS
-from wearline.sources.storage import VersionedTable, overwrite
+from wearline.sources.storage import VersionedTable, append_stream, overwrite, read_stream
 from wearline.streaming import flows, progress, replay
 
 
@@ -156,7 +157,8 @@ def test_progress_log_counts_rules(spark, run):
     assert got["complete_window"] == (2, 10) and got["not_from_future"][1] == 0
     newest = log.agg(F.max("timestamp")).first()[0]
     flows_ = {r.flow: r for r in observability.flow_rollup(log, seconds=3600, as_of=newest).collect()}
-    assert flows_["readings_clean"].micro_batches >= 1
+    assert flows_["readings_clean"].micro_batches >= 1 and flows_["readings_clean"].output_rows == 140
+    assert flows_["risk_scores"].output_rows == run.scores().count() == 2
     assert json.loads(log.filter("flow_name = 'risk_scores'").first().details)["flow_progress"]["status"] == "COMPLETED"
 
 
@@ -175,3 +177,15 @@ def test_range_clustered_table_splits_a_hot_key(spark, tmp_path):
 def test_landing_schema_is_fixed(spark, run):
     run.land(_steady(spark, range(3)))
     assert set(spark.read.parquet(f"{run.root}/bronze").columns) == set(SENSOR_READINGS.fieldNames())
+
+
+def test_no_update_of_a_long_run_is_lost(spark, tmp_path):
+    """More micro-batches than Spark itself remembers."""
+    for k in range(105):
+        spark.range(k, k + 3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = read_stream(spark, str(tmp_path / "in"), spark.range(1).schema, files_per_trigger=1)
+    run = flows.run_available(spark, append_stream(
+        flows._counted(rows, "many"), str(tmp_path / "out"), str(tmp_path / "cp"), "many"))
+    assert len(run.updates) >= 105 > len(run.query.recentProgress)
+    progress.append_events(spark, str(tmp_path / "events"), run, "u")
+    assert rows_written(progress.read_events(spark, str(tmp_path / "events"))).first().output_rows == 315

@@ -82,10 +82,10 @@ def test_value_at_the_newest_reading(spark):
 
 
 def test_any_text_is_carried(spark):
-    df = _normal(spark, [reading("A", 1), reading("B", 1)]).withColumn(
-        "mode", F.when(F.col("station_id") == "A", "melted"))
-    got = {r.station_id: r.mode_at_end for r in paned_window_features(df, ["mode"]).collect()}
-    assert got == {"A": "melted", "B": None}
+    df = _normal(spark, [reading("A", 1), reading("A", 301)]).withColumn(
+        "mode", F.when(F.col("ts") < F.lit(at(300)), "melted"))
+    got = {r.mode_at_end for r in paned_window_features(df, ["mode"]).collect()}
+    assert got == {"melted", None}
 
 
 def _window(spark, **values):

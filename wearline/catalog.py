@@ -452,6 +452,11 @@ def stream_progress(s: Site) -> DataFrame:
     return observability.dq_rollup(replay.progress(s))
 
 
+@query
+def stream_flow_rollup(s: Site) -> DataFrame:
+    return observability.rows_written(replay.progress(s))
+
+
 # -- training and evaluation -------------------------------------------------------------------------------------
 
 @query

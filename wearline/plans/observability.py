@@ -127,6 +127,12 @@ def dq_rollup(log: DataFrame) -> DataFrame:
         F.sum("passed_records").alias("passed"), F.sum("failed_records").alias("failed"))
 
 
+def rows_written(log: DataFrame) -> DataFrame:
+    """Rows each flow has written over the whole log."""
+    flows = parsed_event_log(log.filter("event_type = 'flow_progress'")).groupBy(F.col("flow_name").alias("flow"))
+    return flows.agg(F.sum("d.flow_progress.metrics.num_output_rows").alias("output_rows"))
+
+
 def dq_rollup_by_dataset(log: DataFrame) -> DataFrame:
     """The same by the last part of the flow's three-part name."""
     totals = dq_rollup(log).withColumn("dataset", F.get(F.split("flow_name", "\\."), F.lit(2)))

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wearline.operators.clean import COMPLETE_WINDOW, clean
@@ -10,15 +10,21 @@ from wearline.operators.scoring import Scorer, by_scorecard, risk_scores
 from wearline.operators.state import latest_per_key
 from wearline.operators.windows import window_features
 from wearline.sources.storage import VersionedTable, append_stream
+from wearline.streaming.progress import WRITTEN, Run, follow
 from pyspark.sql import functions as F
 
 
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as they are written: the file sink itself reports no count."""
+    return rows.observe(f"{name}_written", F.count(F.lit(1)).alias(WRITTEN))
+
+
 def readings_clean(
     bronze: DataFrame, station_master: DataFrame, path: str, checkpoint: str, silver_at: Column | None = None
 ) -> DataStreamWriter:
     silver = clean(bronze, station_master, metrics="readings_clean").withColumn(
         "silver_at", F.current_timestamp() if silver_at is None else silver_at)
-    return append_stream(silver, path, checkpoint, "readings_clean")
+    return append_stream(_counted(silver, "readings_clean"), path, checkpoint, "readings_clean")
 
 
 def scored_windows(silver: DataFrame, scorer: Scorer = by_scorecard, model_name: str = "scorecard") -> DataFrame:
@@ -28,7 +34,8 @@ def scored_windows(silver: DataFrame, scorer: Scorer = by_scorecard, model_name:
 
 
 def station_risk_scores(silver: DataFrame, path: str, checkpoint: str, **scoring) -> DataStreamWriter:
-    return append_stream(scored_windows(silver, **scoring), path, checkpoint, "risk_scores")
+    scores = scored_windows(silver, **scoring)
+    return append_stream(_counted(scores, "risk_scores"), path, checkpoint, "risk_scores")
 
 
 def station_health(scores: DataFrame, current: VersionedTable, checkpoint: str) -> DataStreamWriter:
@@ -49,23 +56,29 @@ def serving_copy(scores: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     """Score rows for a serving store, once per (station, window end); a replayed batch replaces its own folder."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(["station_id", "window_end"]).write.mode("overwrite").parquet(
+        latest_per_key(batch, ["station_id", "window_end"], "scored_at").write.mode("overwrite").parquet(
             f"{path}/batch={batch_id:020d}")
 
     return scores.writeStream.queryName("serving_copy").foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
-def run_available(writer: DataStreamWriter) -> StreamingQuery:
+def _start(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    # One state row per event id and per open window: too much for the JVM heap on a real fleet, whoever made the session.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return writer.start()
+
+
+def run_available(spark: SparkSession, writer: DataStreamWriter) -> Run:
     """Process what has arrived, close what the watermark allows, and stop."""
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    return follow(spark, lambda: _start(spark, writer.trigger(availableNow=True))).close()
 
 
-def run_continuously(writer: DataStreamWriter, every: str = "5 seconds") -> StreamingQuery:
-    return writer.trigger(processingTime=every).start()
+def run_continuously(spark: SparkSession, writer: DataStreamWriter, every: str = "5 seconds") -> Run:
+    """A running query; its updates gather in the returned run while it goes on."""
+    return follow(spark, lambda: _start(spark, writer.trigger(processingTime=every)))
 
 
-def drain(*writers: Callable[[], DataStreamWriter]) -> list[StreamingQuery]:
+def drain(spark: SparkSession, *writers: Callable[[], DataStreamWriter]) -> list[Run]:
     """Run dependent queries one after the other, each over everything the one before has written."""
-    return [run_available(build()) for build in writers]
+    return [run_available(spark, build()) for build in writers]
