@@ -4,7 +4,7 @@ A document is its words (runs of letters, digits and underscores, lower-cased),
 Coordinate d of the signature samples one (word, level) pair: with r, c from Gamma(2, 1) and b uniform, all drawn from
 the word and d alone, t = floor(ln(weight) / r + b) and ln(a) = ln(c) - r (t - b) - r; the least a wins. Two documents
 agree in a coordinate with a probability equal to their generalised Jaccard similarity, sum of minima over sum of
-maxima of weights. Since a depends on (word, t) alone, its value names the sample; 16 bits of its hash are kept.
+maxima of weights. Since a depends on (word, t) alone, its value (in single precision) names the sample; 16 bits of its hash are kept.
 
 Defined cases: a null text is the empty text; a text without words has the empty fingerprint, which is like itself (1)
 and unlike all others (0); equal texts have equal fingerprints, whatever their row; other columns are ignored.
@@ -68,7 +68,7 @@ def samples(terms: list[tuple[str, float]], coordinates: int = COORDINATES) -> n
                                    for w, _ in terms]), dtype="<u8")
     weight = np.log(np.array([w for _, w in terms], dtype=np.float64))[:, None]
     places = np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-    out = np.empty((len(terms), coordinates))
+    out = np.empty((len(terms), coordinates), dtype=np.float32)
     for at in range(0, len(terms), IN_CACHE):
         part = slice(at, at + IN_CACHE)
         seed = _mix(keys[part, None] + places[None, :])
@@ -88,7 +88,7 @@ class Sketcher:
     def __init__(self, coordinates: int = COORDINATES):
         self.coordinates = coordinates
         self._row: dict[tuple[str, float], int] = {}
-        self._table = np.empty((REMEMBERED, coordinates))
+        self._table = np.empty((REMEMBERED, coordinates), dtype=np.float32)
 
     def _rows(self, documents: list[list]) -> np.ndarray:
         wanted = set().union(*documents)
@@ -97,7 +97,7 @@ class Sketcher:
             self._row.clear()
             missing = wanted
             if len(missing) > len(self._table):  # a very long document: room for all of it
-                self._table = np.empty((len(missing), self.coordinates))
+                self._table = np.empty((len(missing), self.coordinates), dtype=np.float32)
         if missing:
             first, new = len(self._row), list(missing)
             self._table[first:first + len(new)] = samples(new, self.coordinates)
@@ -114,7 +114,7 @@ class Sketcher:
             rows = self._rows(terms)
             starts = np.cumsum([0] + [len(t) for t in terms[:-1]])
             least = np.minimum.reduceat(self._table[rows], starts, axis=0)
-            bits = (_mix(least.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+            bits = (_mix(least.view(np.uint32).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
             for k, i in enumerate(some):
                 out[i] = bits[k]
         return out
