@@ -9,16 +9,17 @@ from wearline.llm.queries import MIX_TARGETS, domains, op9_mixing
 SF01 = SF.replace("0.001", "0.01")
 
 
-def objective(t, p, x, goal, scale):
-    return float((((t * x) @ p - goal) ** 2 / np.maximum(scale, 1e-9)).sum())
+def objective(t, p, x, goal):
+    rest = (t * x) @ p - goal
+    return float(rest @ np.linalg.pinv((p * t[:, None]).T @ p) @ rest)
 
 
 def by_force(t, p, goal, least, most):
     """The same least squares problem, by plain projected gradient steps on the whole vector of rates."""
-    scale = t @ p
+    weight = np.linalg.pinv((p * t[:, None]).T @ p)
     x = np.clip(np.ones(len(t)), least, most)
     for _ in range(4000):
-        x = np.clip(x - p @ (((t * x) @ p - goal) / np.maximum(scale, 1e-9)), least, most)
+        x = np.clip(x - 0.5 * p @ (weight @ ((t * x) @ p - goal)), least, most)
     return x
 
 
@@ -31,7 +32,7 @@ def test_whole_table_meets_its_targets(spark):
     goal = np.array([MIX_TARGETS[d] for d in names]) * t.sum()
     assert np.allclose((t * rows["rate"]) @ p, goal, atol=2e-3 * t.sum())
     exact = by_force(t, p, goal, 0, np.inf)
-    assert abs(objective(t, p, rows["rate"].to_numpy(), goal, t @ p) - objective(t, p, exact, goal, t @ p)) < 1e-3 * t.sum()
+    assert abs(objective(t, p, rows["rate"].to_numpy(), goal) - objective(t, p, exact, goal)) < 1e-6 * t.sum()
     assert ((rows["copies"] == np.floor(rows["rate"])) | (rows["copies"] == np.floor(rows["rate"]) + 1)).all()
     assert abs(rows["copies"].mean() - rows["rate"].mean()) < 0.05
 
@@ -58,8 +59,7 @@ def test_bounds(spark, least, most, total):
     assert (x >= least).all() and (most is None or (x <= most).all())
     goal = np.array([mixture.totals[d][2] for d in mixture.domains])
     exact = by_force(t, p, goal, least, np.inf if most is None else most)
-    worth = objective(t, p, exact, goal, t @ p)
-    assert objective(t, p, x, goal, t @ p) <= worth * 1.02 + 1e-3 * t.sum()
+    assert objective(t, p, x, goal) <= objective(t, p, exact, goal) * 1.02 + 1e-6 * t.sum()
 
 
 def test_odd_rows(spark):

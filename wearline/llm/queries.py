@@ -103,7 +103,7 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixture = mix_to_targets(docs, domains(spark, sf_dir), MIX_TARGETS)
+    mixture = mix_to_targets(docs, domains(spark, sf_dir), MIX_TARGETS, keep=["doc_id"])
     return mixture.rows.select(
         "doc_id", F.col("_tokens").alias("tokens"),
         *(F.get("_p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(mixture.domains)), F.col("_rate").alias("rate"),
