@@ -123,13 +123,18 @@ def test_row_filter_and_masks(spark):
                                    "technician_id string, home_plant_id string, email string")
     access = spark.createDataFrame([("u", "P1"), ("u", "P1"), ("v", "P2"), ("v", "P1")], "principal string, plant_id string")
 
-    def seen(who, exempt=()):
-        return rows(security.visible_rows(people, access, who, "home_plant_id", exempt), "technician_id")
-
-    assert seen("u") == [("T1",)] and seen("v") == [("T1",), ("T2",)] and seen("nobody") == []
-    assert seen("boss", ("boss",)) == [("T1",), ("T2",)]
-    assert rows(security.masked(people, ["email"], False), "email") == [("***redacted***",)] * 2
-    assert rows(security.masked(people, ["email"], True), "email") == [("a@x",), ("b@x",)]
+    members = spark.createDataFrame([("boss", "owners"), ("lead", "all"), ("v", "supervisors")],
+                                    "principal string, member_of string")
+    plants = people.select(F.col("home_plant_id").alias("plant_id"))
+    entitled = security.entitlements(plants, access, members, ("owners", "all"))
+    seen = security.masked_for(security.visible_rows(people, entitled, "home_plant_id"), ["email"], members,
+                               ("owners", "supervisors"))
+    hidden = "***redacted***"
+    assert rows(seen, "seen_by", "technician_id", "email") == [
+        ("boss", "T1", "a@x"), ("boss", "T2", "b@x"), ("lead", "T1", hidden), ("lead", "T2", hidden), ("u", "T1", hidden),
+        ("v", "T1", "a@x"), ("v", "T2", "b@x")]
+    unknown = people.withColumn("who", F.lit(None).cast("boolean"))
+    assert rows(security.masked(unknown, ["email"], F.col("who")), "email") == [(hidden,)] * 2
     assert rows(security.grants_per_principal(access), "principal", "plants") == [("u", "P1"), ("v", "P1,P2")]
 
 
@@ -186,3 +191,9 @@ def test_workspace_is_under_the_shared_folder(spark):
     assert workspace(Session("hdfs:///shared/"), "t") == "hdfs:///shared/wearline/app-1/t"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         workspace(Session(None))
+
+
+def test_converted_repairs_round_half_to_even(spark):
+    events = _events(spark, *[("press", "corrective_repair", 60, 100)] * 15, ("press", "preventive_repair", 30, 50))
+    kpis = {r.kpi: r.with_conversion for r in value.scorecard_kpis(events).collect()}
+    assert kpis["unplanned_repairs"] == 5.0  # 10.5 becomes 10

@@ -681,24 +681,24 @@ def result_diff(s: Site) -> DataFrame:
 
 # -- access ------------------------------------------------------------------------------------------------------
 
+SEES_ALL, SEES_PERSONAL = ("owners", "all_plants"), ("owners", "supervisors")
+
+
 @query
 def column_mask(s: Site) -> DataFrame:
-    return security.masked(s.raw("technicians"), ["email", "phone"], revealed=False)
+    """Every technician as a supervisor and as a stranger sees the columns."""
+    asked = s.raw("technicians").withColumn("seen_by", F.explode(F.array(F.lit("user-5"), F.lit("user-7"))))
+    return security.masked_for(asked, ["email", "phone"], s.raw("group_members"), SEES_PERSONAL)
 
 
 @query
 def row_filter(s: Site) -> DataFrame:
-    technicians, access = s.raw("technicians"), s.raw("plant_access")
-    seen = [("user-1", ()), ("user-5", ()), ("user-7", ()), ("owner", ("owner",))]
-    parts = [
-        security.masked(security.visible_rows(technicians, access, who, "home_plant_id", exempt), ["email", "phone"],
-                        revealed=False).withColumn("seen_by", F.lit(who))
-        for who, exempt in seen
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every
+    """Every technician for every principal who may see them: by a grant, or as a member of a group that sees all."""
+    technicians, members = s.raw("technicians"), s.raw("group_members")
+    plants = technicians.select(F.col("home_plant_id").alias("plant_id")).distinct()
+    entitled = security.entitlements(plants, s.raw("plant_access"), members, SEES_ALL)
+    seen = security.visible_rows(technicians, entitled, "home_plant_id")
+    return security.masked_for(seen, ["email", "phone"], members, SEES_PERSONAL)
 
 
 @query

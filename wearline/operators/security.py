@@ -2,24 +2,38 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.functions.columns import mask
 
 
-def visible_rows(
-    df: DataFrame, plant_access: DataFrame, principal: str, plant_column: str, exempt: Sequence[str] = ()
-) -> DataFrame:
-    """Rows of the plants granted to `principal`; principals in `exempt` see everything."""
-    if principal in exempt:
-        return df
-    granted = plant_access.filter(F.col("principal") == principal).select(F.col("plant_id").alias("granted_plant"))
-    return df.join(granted, df[plant_column] == F.col("granted_plant"), "left_semi")
+def entitlements(plants: DataFrame, grants: DataFrame, members: DataFrame, everywhere: Sequence[str]) -> DataFrame:
+    """(principal, plant_id): a plant is open to whoever has a grant for it or belongs to a group that sees all.
 
+    `plants` holds each plant_id that occurs, a small dimension; `members` holds principal and member_of.
+    """
+    every_plant = plants.agg(F.collect_set("plant_id")).scalar()
+    leads = members.where(F.col("member_of").isin(*everywhere)).select("principal", F.explode(every_plant).alias("plant_id"))
+    return grants.select("principal", "plant_id").union(leads).distinct()
 
-def masked(df: DataFrame, private: Sequence[str], revealed: bool) -> DataFrame:
-    return df.select(*[mask(c, revealed).alias(c) if c in private else F.col(c) for c in df.columns])
+
+def visible_rows(df: DataFrame, entitled: DataFrame, plant_column: str) -> DataFrame:
+    """Each row once for every principal who may see it, as `seen_by`: one join, whoever is asking."""
+    who = entitled.select(F.col("principal").alias("seen_by"), F.col("plant_id").alias("_plant"))
+    return df.join(who, F.col(plant_column) == F.col("_plant")).drop("_plant")
+
+
+def masked(df: DataFrame, private: Sequence[str], revealed: Column) -> DataFrame:
+    """Personal data where `revealed` is TRUE, a fixed text elsewhere."""
+    return df.withColumns({c: mask(c, revealed) for c in private})
+
+
+def masked_for(df: DataFrame, private: Sequence[str], members: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """`masked` by who is asking (`seen_by`): members of one of the groups see personal data."""
+    trusted = members.where(F.col("member_of").isin(*groups)).select(F.col("principal").alias("_trusted")).distinct()
+    asked = df.join(trusted, F.col("seen_by") == F.col("_trusted"), "left")
+    return masked(asked, private, F.col("_trusted").isNotNull()).drop("_trusted")
 
 
 def register_functions(spark: SparkSession) -> None:

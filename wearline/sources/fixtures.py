@@ -263,6 +263,13 @@ SELECT concat('user-', c_custkey) AS principal, concat('P', 1 + (c_nationkey + j
 FROM {customer} {fan(2)} WHERE c_custkey % 7 <> 0 AND (j = 0 OR c_custkey % 5 = 0)
 """)
 
+# Own values: who may see every plant, and who may see personal data.
+_table("group_members", (), """
+SELECT principal, member_of FROM (VALUES ('owner', 'owners'), ('user-3', 'all_plants'), ('user-5', 'supervisors'),
+                                         ('user-21', 'supervisors'), ('user-21', 'all_plants'))
+  AS s(principal, member_of)
+""")
+
 _table("event_log", (), """
 SELECT event_type, ts AS timestamp, update_id, flow_name,
        CASE event_type
