@@ -9,7 +9,7 @@ from checks.compare import connect, difference
 from conftest import SF
 from wearline import catalog
 
-ROWS_ONLY = {"time_split", "train_gbt", "score_gbt", "model_metrics_gbt", "grouped_recurrence"}
+ROWS_ONLY = {"train_gbt", "score_gbt", "model_metrics_gbt", "lead_time_gbt", "grouped_recurrence"}
 SLOW = {"silver_stream", "risk_scores_stream", "health_current_stream", "serving_snapshot", "late_data_audit",
         "stream_progress", "stream_flow_rollup", "score_consistency", "train_gbt", "score_gbt", "model_metrics_gbt"}
 

@@ -3,6 +3,7 @@
 import hashlib
 from datetime import datetime
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from wearline.operators.state import latest_per_key
 from wearline.operators.windows import paned_window_features
 from wearline.plans.exposure import delivery_exposure
 from wearline.plans.maintenance import maintenance_events
-from wearline.plans.training import training_features
+from wearline.plans.training import BoostingParams, down_sample, time_split, train_gbt, training_features
 from wearline.plans.work_orders import work_orders_current
 from wearline.session import workspace
 from wearline.sources import fixtures
@@ -82,6 +83,16 @@ class Site:
     def training(self) -> DataFrame:
         return training_features(self.raw("history_readings"), self.raw("station_master"))
 
+    def model(self, params: BoostingParams = BoostingParams()) -> PipelineModel:
+        """The booster fitted on the earlier part of the stored history: trained once, saved, and loaded by all users."""
+        name = f"booster-{params}"
+        if name not in self._built:
+            path = workspace(self.spark, "models", hashlib.sha256(f"{self.inputs} {params}".encode()).hexdigest()[:16])
+            train, _ = time_split(self.table("training_features"))
+            train_gbt(down_sample(train), params).write().overwrite().save(path)
+            self._built[name] = path
+        return PipelineModel.load(self._built[name])
+
     def scored_training(self) -> DataFrame:
         return by_scorecard(self.table("training_features"))
 
@@ -91,7 +102,7 @@ class Site:
 
     def register_views(self) -> list[str]:
         """All tables as temporary views for SQL. Derived tables are stored first; the others stay lazy."""
-        views = {name: self.raw(name) for name in fixtures.names() if name != "telemetry"}
+        views = {name: self.raw(name) for name in fixtures.names() if not name.endswith("telemetry")}
         views |= {name: self.table(name) for name in STORED}
         views |= {"maintenance_events": self.maintenance(), "work_orders_current": self.work_orders(),
                   "delivery_exposure": self.exposure()}

@@ -101,8 +101,9 @@ FROM (
 ) named
 """)
 
-# One reading per station and second, with faults still absent. copy_no 1 marks the second delivery of a reading.
-_table("telemetry", ("station_master",), f"""
+def _telemetry(keyed: str) -> str:
+    """One reading per station and second, with faults still absent, for numbers g and copy_no of a subquery."""
+    return f"""
 SELECT g, sec, copy_no, phase, is_down, station_idx, station_id, plant_id, line_id, gateway_id, station_type,
        {_START} + INTERVAL '1' SECOND * sec AS ts, 1704067200 + sec AS seq,
        {", ".join(_sensor(s) for s in SENSORS)}
@@ -113,13 +114,19 @@ FROM (
   FROM (
     SELECT g, copy_no, g % 96 AS st, CAST(floor(g / 96) AS BIGINT) AS sec,
            (CAST(floor(g / 96) AS BIGINT) + g % 96 * 37) % 600 AS phase
-    FROM (
-      SELECT o_orderkey * 8 + j % 8 AS g, CASE WHEN j = 8 THEN 1 ELSE 0 END AS copy_no
-      FROM {{orders}} {{fan(9)}} WHERE j < 8 OR o_orderkey % 20 = 0
-    ) keyed
+    FROM ({keyed}) keyed
   ) r JOIN station_master m ON m.station_idx = r.st
 ) shaped
-""")
+"""
+
+
+# copy_no 1 marks the second delivery of a reading.
+_table("telemetry", ("station_master",), _telemetry("""
+SELECT o_orderkey * 8 + j % 8 AS g, CASE WHEN j = 8 THEN 1 ELSE 0 END AS copy_no
+FROM {orders} {fan(9)} WHERE j < 8 OR o_orderkey % 20 = 0"""))
+# Four times as long: the later quarter of a history has to exceed the gap between training and test.
+_table("long_telemetry", ("station_master",), _telemetry("""
+SELECT o_orderkey * 32 + j AS g, 0 AS copy_no FROM {orders} {fan(32)}"""))
 
 _VIBRATION = "CASE WHEN g % 503 = 7 THEN 99e0 ELSE vibration_rms END AS vibration_rms"
 _TEMPERATURE = "CASE WHEN g % 1009 = 5 THEN NULL ELSE bearing_temp_c END AS bearing_temp_c"
@@ -135,14 +142,14 @@ FROM (
 """)
 
 # Which failure mode belongs to a station type, here and in the maintenance log.
-_table("history_readings", ("telemetry",), f"""
+_table("history_readings", ("long_telemetry",), f"""
 SELECT station_id, ts, {_SENSOR_LIST}, ttf_s,
        CASE WHEN ttf_s IS NULL THEN NULL WHEN station_type = 'press' THEN 'seal_leak'
             WHEN station_type = 'welder' THEN 'overheating' ELSE 'bearing_wear' END AS true_failure_mode
 FROM (
   SELECT *, CASE WHEN is_down THEN 0e0 WHEN station_idx % 7 = 3 AND phase < 400 THEN CAST(400 - phase AS DOUBLE) END
            AS ttf_s
-  FROM telemetry WHERE copy_no = 0
+  FROM long_telemetry
 ) aged
 """)
 
