@@ -39,7 +39,7 @@ LABELLED = 40_000
 SMOOTHING = 1.0
 SIGNIFICANT, STRONG = 4.0, 2.0
 STEPS = 60
-#: Largest miss of a target, as a share of all tokens, at which the descent ends.
+#: Largest miss of a target, or move of a step, as a share of all tokens, at which the descent ends.
 TOLERANCE = 1e-5
 _UNITS = r"[^\s\p{Punct}]+|\p{Punct}+"
 
@@ -186,7 +186,7 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
         momentum, speed = (speed - 1) / faster, faster
         steps.append([*(weight @ (ahead - goal)).tolist(), momentum])
         before, reached = reached, np.array(sums(steps))
-        if np.abs(reached - before).max() <= TOLERANCE * 0.01 * max(sum(now), 1.0):
+        if np.abs(reached - before).max() <= TOLERANCE * max(sum(now), 1.0):
             break  # the bounds leave nothing to gain
     rows = with_p(featured).drop("_buckets").withColumn("_rate", _rate(steps, least, most))
     return Mixture(rows, domains, {d: (now[i], float(reached[i]), goal[i]) for i, d in enumerate(domains)})
