@@ -78,3 +78,24 @@ def test_repeats_single_and_empty(spark):
     twice = fp.neighbour_fingerprints(spark.createDataFrame([(4, "a b c"), (4, "a b c"), (3, None)],
                                                             "doc_id long, text string")).collect()
     assert len(twice) == 3 and len({r.fingerprint for r in twice if r.doc_id == 4}) == 1
+
+
+def test_blocks_are_even_for_any_ids(spark):
+    rng = np.random.default_rng(3)
+    far = [*range(20_000), 10 ** 15]
+    wide = [int(i) for i in rng.integers(-2 ** 63, 2 ** 63 - 1, 20_000)] + [-2 ** 63, 2 ** 63 - 1]
+    for ids in (far, wide):
+        docs = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
+        blocks = fp._blocks(docs).groupBy("_block").count().collect()
+        assert sum(b["count"] for b in blocks) == len(ids) + len(blocks)
+        assert max(b["count"] for b in blocks) <= fp.BLOCK_ROWS + 1
+
+
+@pytest.mark.parametrize("block", [1, 3, 2048])
+def test_order_of_random_ids(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(fp, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(4)
+    ids = [int(i) for i in rng.integers(-2 ** 63, 2 ** 63 - 1, 40)] + [-2 ** 63, 2 ** 63 - 1, None]
+    docs = [(i, f"w{k} w{k % 3} of words") for k, i in enumerate(ids)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    check(docs, op2_fingerprints(spark, str(tmp_path)).collect())

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wearline.llm.common import text_or_empty
 
@@ -35,10 +34,10 @@ REMEMBERED = 100_000
 IN_CACHE = 256
 #: Documents whose samples are drawn together.
 TOGETHER = 128
-#: Rows of a block of neighbouring ids, on average.
+#: Rows of a block of neighbouring ids, at most (rows of one id stay together).
 BLOCK_ROWS = 2048
-#: Largest number of block heads that is broadcast (24 bytes each); beyond it Spark plans a shuffled join.
-BROADCAST_HEADS = 1_000_000
+#: Blocks, about; each task gets the greatest id of all (8 bytes each). Beyond it blocks have more rows, all alike.
+BROADCAST_HEADS = 65_536
 
 _WORDS = re.compile(r"\w+")
 
@@ -147,25 +146,34 @@ def fingerprint_documents(docs: DataFrame, id_column: str = "doc_id", text: str
     return rows.mapInArrow(sketch, f"{id_column} {rows.schema[id_column].dataType.simpleString()}, fingerprint string")
 
 
+def _heads(ids: DataFrame) -> list[int]:
+    """The greatest id of each block, rising. Blocks are cut by counting rows in the order of ids, so that gaps between
+    ids do not matter: only rows of one id can make a block larger."""
+    rows = max(BLOCK_ROWS, ids.count() // max(BROADCAST_HEADS, 1))
+    falling = ids.repartitionByRange(F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc())
+    # The low 33 bits count the rows of a partition, in its order.
+    nth = F.monotonically_increasing_id().bitwiseAND(2 ** 33 - 1)
+    return sorted({r[0] for r in falling.withColumn("_nth", nth).where(F.col("_nth") % rows == 0).collect()})
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Rows (_block, doc_id, text, _borrowed): blocks of neighbouring ids, each ending with a copy of the row after it.
 
     The row after a block is the first row of the next lower block; after the lowest block it is the first row of all.
+    Rows without id are the lowest block, -1.
     """
-    rows, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low) * BLOCK_ROWS // max(rows, 1))
-    # Whole numbers throughout: ids beyond 2^53 keep their order.
-    block = F.expr(f"coalesce((doc_id - pmod(doc_id, {width}L)) div {width}L, {low // width - 1}L)")
-    placed = docs.withColumn("_block", block)
-    heads = placed.groupBy("_block").agg(F.max("doc_id").alias("_head"))
-    rising = Window.orderBy("_block")
-    heads = heads.select("_block", "_head", F.coalesce(F.lead("_block").over(rising), F.min("_block").over(
-        Window.partitionBy())).alias("_to"))
-    if rows // BLOCK_ROWS + 2 <= BROADCAST_HEADS:
-        heads = F.broadcast(heads)
-    firsts = placed.join(heads, "_block").where(F.col("doc_id").eqNullSafe(F.col("_head")))
-    firsts = firsts.groupBy(F.col("_to").alias("_block")).agg(F.max("doc_id").alias("doc_id"), F.max("text").alias("text"))
+    heads = _heads(docs.select("doc_id").where("doc_id is not null"))
+    lowest = -1 if not heads or docs.where("doc_id is null").limit(1).count() else 0
+    # A constant array, written compactly; folded to one literal before execution.
+    known = F.split(F.lit(" ".join(map(str, heads))), " ").cast("array<bigint>") if heads else F.lit(None).cast("array<bigint>")
+    # Binary search: the number of heads below the id. Beyond the last head the comparison is null.
+    steps = F.array(*(F.lit(2 ** k) for k in reversed(range(max(len(heads), 1).bit_length()))))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(known, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
+    placed = docs.withColumn("_block", F.when(F.col("doc_id").isNull(), -1).otherwise(below))
+    firsts = placed.where(F.col("doc_id").isNull() | (F.get(known, F.col("_block")) == F.col("doc_id")))
+    after = F.when(F.col("_block") == len(heads) - 1, lowest).otherwise(F.col("_block") + 1)
+    firsts = firsts.groupBy(after.alias("_block")).agg(F.max("doc_id").alias("doc_id"), F.max("text").alias("text"))
     own = placed.select("_block", "doc_id", "text", F.lit(False).alias("_borrowed"))
     return own.unionByName(firsts.select("_block", "doc_id", "text", F.lit(True).alias("_borrowed")))
 
