@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from builders import at, reading, readings, rows, station_master
+from conftest import SF
 from wearline.operators.state import latest_per_key
 from wearline.plans import observability
 from wearline.plans.observability import rows_written
@@ -189,3 +190,22 @@ def test_no_update_of_a_long_run_is_lost(spark, tmp_path):
     assert len(run.updates) >= 105 > len(run.query.recentProgress)
     progress.append_events(spark, str(tmp_path / "events"), run, "u")
     assert rows_written(progress.read_events(spark, str(tmp_path / "events"))).first().output_rows == 315
+
+
+def test_model_queries_take_the_default_booster_and_the_stream_is_scored_by_it(spark, monkeypatch):
+    from wearline import catalog
+    from wearline.plans.site import Site, open_site
+    from wearline.plans.training import BoostingParams
+    from wearline.streaming import replay
+
+    small, asked = open_site(spark, SF).model(BoostingParams(iterations=3, depth=3)), []
+    monkeypatch.setattr(Site, "model", lambda self, params=BoostingParams(): asked.append(params) or small)
+    monkeypatch.setattr(replay, "_RECORDINGS", {})
+    for name in ("train_gbt", "score_gbt", "model_metrics_gbt", "lead_time_gbt"):
+        catalog.queries()[name](spark, SF)
+        assert asked and set(asked) == {BoostingParams()}
+        asked.clear()
+    gap = catalog.queries()["score_consistency"](spark, SF).first()
+    assert gap.windows > 0 and gap.max_abs_diff == 0 and set(asked) == {BoostingParams()}
+    streamed = replay.model_scores(open_site(spark, SF))
+    assert {r.model_uri for r in streamed.select("model_uri").distinct().toLocalIterator()} == {"gbt"}

@@ -529,19 +529,15 @@ def what_if(s: Site) -> DataFrame:
         "station_id", "sensor", "change_pct", "current_probability", "scenario_probability")
 
 
-#: The registered queries fit a smaller booster than the default one; README states why.
-QUERY_BOOSTER = training.BoostingParams(iterations=30, depth=5)
-
-
 @query
 def train_gbt(s: Site) -> DataFrame:
-    importances = training.feature_importances(s.model(QUERY_BOOSTER))
+    importances = training.feature_importances(s.model())
     return s.spark.createDataFrame(importances, "feature string, importance double")
 
 
 @query
 def score_gbt(s: Site) -> DataFrame:
-    return scoring.by_model(s.model(QUERY_BOOSTER))(s.table("training_features")).select(
+    return scoring.by_model(s.model())(s.table("training_features")).select(
         "station_id", "window_end", "label", "failure_probability")
 
 
@@ -549,19 +545,20 @@ def score_gbt(s: Site) -> DataFrame:
 def model_metrics_gbt(s: Site) -> DataFrame:
     """On the held-out later part of the history."""
     _, test = training.time_split(s.table("training_features"))
-    return evaluation.model_metrics(scoring.by_model(s.model(QUERY_BOOSTER))(test))
+    return evaluation.model_metrics(scoring.by_model(s.model())(test))
 
 
 @query
 def lead_time_gbt(s: Site) -> DataFrame:
     """Warning times of the fitted model on the held-out part."""
     _, test = training.time_split(s.table("training_features"))
-    return evaluation.lead_time(scoring.by_model(s.model(QUERY_BOOSTER))(test))
+    return evaluation.lead_time(scoring.by_model(s.model())(test))
 
 
 @query
 def score_consistency(s: Site) -> DataFrame:
-    return scoring.score_gap(replay.scores(s), s.table("risk_scores"))
+    """The saved booster on a stream and on the stored readings."""
+    return scoring.score_gap(replay.model_scores(s), s.scores(s.table("readings_clean"), scoring.by_model(s.model())))
 
 
 @query
