@@ -5,7 +5,8 @@ sequences. Between stages documents are written to the shared folder and read ba
 part of one stage.
 
 Rows without an id are never duplicates of others; rows of one id are one document, of which the least text stays.
-Mixing repeats documents (its rates are between 1 and 4) and drops none.
+Mixing repeats documents (its rates are between 1 and 4). Only documents of `LOWERED` domains, in proportion to their
+posterior, may be taken less than once, where the corpus has more of them than wanted; targets missed are logged.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from wearline.llm.quality import score_documents, train
 #: Shares of tokens after mixing, and all tokens as a multiple of those that came in.
 TARGETS, TOTAL = {"clean": 0.9, "toxic": 0.1}, 1.25
 LEAST_RATE, MOST_RATE = 1.0, 4.0
+LOWERED = ("toxic",)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say, so that tokens of clean and toxic documents approach their targets."""
-    mixture = mix_to_targets(docs, llm.domains(spark, sf_dir), TARGETS, total=TOTAL, least=LEAST_RATE, most=MOST_RATE)
+    mixture = mix_to_targets(docs, llm.domains(spark, sf_dir), TARGETS, total=TOTAL, least=LEAST_RATE, most=MOST_RATE,
+                             lowered=LOWERED)
     times = copies(F.col("_rate"), F.col("doc_id"))
     repeated = mixture.rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     return repeated.select(*docs.columns)

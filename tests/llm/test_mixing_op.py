@@ -80,3 +80,22 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = op9_mixing(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_a_domain_above_its_target_is_lowered_and_a_miss_is_reported(spark, caplog):
+    docs = spark.createDataFrame([(i, " ".join(["good" if i % 4 else "bad", *(f"w{i * j % 13}" for j in range(20))]))
+                                  for i in range(200)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "toxic").otherwise("clean").alias("domain"))
+    bounds = {"targets": {"clean": 0.9, "toxic": 0.1}, "total": 1.25, "least": 1.0, "most": 4.0}
+    with caplog.at_level("WARNING"):
+        stuck = mixing.mix_to_targets(docs, labels, **bounds)
+    assert "toxic" in caplog.text and stuck.totals["toxic"][1] > 1.5 * stuck.totals["toxic"][2]
+    caplog.clear()
+    with caplog.at_level("WARNING"):
+        mixture = mixing.mix_to_targets(docs, labels, **bounds, lowered=("toxic",))
+    assert not caplog.text
+    for _, reached, wanted in mixture.totals.values():
+        assert abs(reached - wanted) < 1e-3 * sum(g for _, _, g in mixture.totals.values())
+    rates = mixture.rows.select("doc_id", "_rate", "_p").collect()
+    clean = mixture.domains.index("clean")
+    assert all(r["_rate"] >= r["_p"][clean] - 1e-9 for r in rates) and min(r["_rate"] for r in rates) < 1

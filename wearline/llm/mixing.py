@@ -23,6 +23,8 @@ twice; repeated documents are rated each; without any labels the posteriors are
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Collection
 from math import log
 from typing import NamedTuple
 
@@ -39,8 +41,11 @@ LABELLED = 40_000
 SMOOTHING = 1.0
 SIGNIFICANT, STRONG = 4.0, 2.0
 STEPS = 60
-#: Largest miss of a target, or move of a step, as a share of all tokens, at which the descent ends.
+#: Largest miss of a target, as a share of all tokens, at which the descent ends.
 TOLERANCE = 1e-5
+#: Miss of a target, as a share of all wanted tokens, that is reported.
+MISSED = 1e-3
+_LOG = logging.getLogger(__name__)
 _UNITS = r"[^\s\p{Punct}]+|\p{Punct}+"
 
 
@@ -119,11 +124,17 @@ def _posteriors(model: _Model) -> tuple[Column, Column, Column]:
     return scores, weights, F.transform("_weights", lambda w: w / total)
 
 
-def _rate(steps: list[list[float]], least: float, most: float | None) -> Column:
+def _rate(steps: list[list[float]], least: float, most: float | None, lowered: list[int]) -> Column:
     """The rate after the steps taken so far: from 1, minus p . q for each step's q, kept within the bounds.
 
-    The last number of a step is its momentum: the next one starts that much further on.
+    The last number of a step is its momentum: the next one starts that much further on. The lower bound shrinks with
+    the share of the domains `lowered` in p.
     """
+    floor = F.lit(float(least))
+    if least > 0:
+        for d in lowered:
+            floor = floor - float(least) * F.get("_p", F.lit(d))
+        floor = F.greatest(floor, F.lit(0.0))
     start = F.lit(float(max(least, 1.0 if most is None else min(1.0, most))))
     if not steps:
         return start
@@ -132,7 +143,7 @@ def _rate(steps: list[list[float]], least: float, most: float | None) -> Column:
         new = at["ahead"]
         for d in range(len(steps[0]) - 1):
             new = new - F.get("_p", F.lit(d)) * F.get(q, F.lit(d))
-        new = F.greatest(new, F.lit(float(least)))
+        new = F.greatest(new, floor)
         new = new if most is None else F.least(new, F.lit(float(most)))
         ahead = new + F.get(q, F.lit(len(steps[0]) - 1)) * (new - at["rate"])
         return F.struct(new.alias("rate"), ahead.alias("ahead"))
@@ -144,15 +155,18 @@ def _rate(steps: list[list[float]], least: float, most: float | None) -> Column:
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_column: str = "doc_id",
                    text: str = "text", total: float = 1.0, least: float = 0.0, most: float | None = None,
-                   keep: list[str] | None = None) -> Mixture:
+                   keep: list[str] | None = None, lowered: Collection[str] = ()) -> Mixture:
     """Rates such that domain d has about `targets[d]` of `total` times the input's tokens.
 
-    `labels` holds doc_id and domain; targets are normalised to sum 1. `least` and `most` bound the rates; `keep` names
-    the columns to return, all by default (the id has to be among them).
+    `labels` holds doc_id and domain; targets are normalised to sum 1. `least` and `most` bound the rates; a
+    document of a domain in `lowered` may be taken less often, down to 0, in proportion to its posterior. `keep` names
+    the columns to return, all by default (the id has to be among them). A target that the bounds keep out of reach is
+    logged as a warning; `totals` has the figures.
     """
     if not targets or min(targets.values()) < 0 or not sum(targets.values()):
         raise ValueError("targets are nonnegative, with a positive sum")
     domains = sorted(targets)
+    low = [k for k, d in enumerate(domains) if d in lowered]
     featured = stored(_featured(docs, text, keep or docs.columns), "mix-features")
     model = _fit(featured, id_column, labels, domains)
     scores, weights, posterior = _posteriors(model)
@@ -166,7 +180,7 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     k = range(len(domains))
 
     def sums(steps: list[list[float]]) -> list[float]:
-        used = F.col("_tokens") * _rate(steps, least, most)
+        used = F.col("_tokens") * _rate(steps, least, most, low)
         return [v or 0.0 for v in light.agg(*(F.sum(used * F.get("_p", F.lit(d))) for d in k)).first()]
 
     taken = [F.col("_tokens") * F.get("_p", F.lit(d)) for d in k]
@@ -186,9 +200,13 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
         momentum, speed = (speed - 1) / faster, faster
         steps.append([*(weight @ (ahead - goal)).tolist(), momentum])
         before, reached = reached, np.array(sums(steps))
-        if np.abs(reached - before).max() <= TOLERANCE * max(sum(now), 1.0):
+        if np.abs(reached - before).max() <= TOLERANCE * 0.01 * max(sum(now), 1.0):
             break  # the bounds leave nothing to gain
-    rows = with_p(featured).drop("_buckets").withColumn("_rate", _rate(steps, least, most))
+    rows = with_p(featured).drop("_buckets").withColumn("_rate", _rate(steps, least, most, low))
+    missed = {d: (round(r), round(g)) for d, r, g in zip(domains, reached.tolist(), goal)
+              if abs(r - g) > MISSED * max(sum(goal), 1.0)}
+    if missed:
+        _LOG.warning("mixture misses its targets, tokens (reached, wanted): %s", missed)
     return Mixture(rows, domains, {d: (now[i], float(reached[i]), goal[i]) for i, d in enumerate(domains)})
 
 
