@@ -18,13 +18,12 @@ def by_scorecard(windows: DataFrame) -> DataFrame:
 
 
 def by_model(model: Model) -> Scorer:
-    """A fitted Spark ML pipeline; scoring stays in the JVM and works on streams as well."""
+    """A fitted Spark ML pipeline; scoring stays in the JVM and works on streams as well. Probabilities are not rounded."""
 
     def score(windows: DataFrame) -> DataFrame:
         inputs = windows.withColumns({c: F.col(c).cast("double") for c in FEATURES})
         scored = model.transform(inputs)
-        probability = F.round(vector_to_array("probability")[1], 4)
-        return scored.withColumn("failure_probability", probability).select(*windows.columns, "failure_probability")
+        return scored.withColumn("failure_probability", vector_to_array("probability")[1]).select(*windows.columns, "failure_probability")
 
     return score
 
@@ -36,10 +35,10 @@ def risk_scores(
     features_at: Column | None = None,
     scored_at: Column | None = None,
 ) -> DataFrame:
-    """Gold rows: probability, band and the signal to blame. Clocks default to the processing time."""
+    """Gold rows: probability (four decimals), band and the signal to blame. Clocks default to the processing time."""
     stamped = windows.withColumn("features_at", F.current_timestamp() if features_at is None else features_at)
     signal, deviation = top_signal()
-    scored = scorer(stamped)
+    scored = scorer(stamped).withColumn("failure_probability", F.round("failure_probability", 4))
     return scored.select(
         *STATION_KEYS, "window_start", "window_end", "last_reading_ts", "n_readings", "failure_probability",
         risk_band().alias("risk_band"), signal, deviation,
