@@ -99,3 +99,12 @@ def test_a_domain_above_its_target_is_lowered_and_a_miss_is_reported(spark, capl
     rates = mixture.rows.select("doc_id", "_rate", "_p").collect()
     clean = mixture.domains.index("clean")
     assert all(r["_rate"] >= r["_p"][clean] - 1e-9 for r in rates) and min(r["_rate"] for r in rates) < 1
+
+
+def test_words_end_at_signs_and_spaces_of_any_script(spark):
+    docs = spark.createDataFrame([(1, "\u201cbad\u201d\u2014word"), (2, "\u00abbad\u00bb\u00a0word"), (3, "\u574f\u8bdd\u3002\u597d\u8bdd\uff0c\u8bdd"),
+                                  (4, "caf\u00e9 'x' 12"), (5, "bad word")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in mixing._featured(docs, "text", ["doc_id"]).collect()}
+    assert [rows[i]._tokens for i in (1, 2, 3, 4)] == [4, 4, 5, 5]
+    words = set(mixing._featured(docs.where("doc_id = 5"), "text", ["doc_id"]).first()._buckets[:2])
+    assert words <= set(rows[1]._buckets) and words <= set(rows[2]._buckets)

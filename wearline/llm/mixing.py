@@ -46,7 +46,8 @@ TOLERANCE = 1e-5
 #: Miss of a target, as a share of all wanted tokens, that is reported.
 MISSED = 1e-3
 _LOG = logging.getLogger(__name__)
-_UNITS = r"[^\s\p{Punct}]+|\p{Punct}+"
+#: Words (letters, marks and digits of any script) and runs of other signs; \s is ASCII only, \p{Z} has the other spaces.
+_UNITS = r"[\p{L}\p{M}\p{N}]+|[^\s\p{Z}\p{L}\p{M}\p{N}]+"
 
 
 class Mixture(NamedTuple):
