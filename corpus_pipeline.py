@@ -49,7 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixture = mix_to_targets(docs, llm.domains(spark, sf_dir), TARGETS, total=TOTAL, least=LEAST_RATE, most=MOST_RATE,
                              lowered=LOWERED)
     times = copies(F.col("_rate"), F.col("doc_id"))
-    repeated = mixture.rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    # An empty array for no copies: such a document goes. (A sequence from 1 to 0 would count down, and double it.)
+    repeated = mixture.rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), times.cast("int"))))
     return repeated.select(*docs.columns)
 
 
