@@ -109,3 +109,18 @@ def test_order_is_kept_and_repeats_and_null_ids_are_documents(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_what_a_worker_remembers_is_bounded_by_bytes():
+    from wearline.llm.tokens import LONGEST, Remembering
+
+    known = Remembering(lambda key: key.encode() * 4, limit=10_000)
+    for k in range(500):
+        assert known[f"chunk{k}"] == f"chunk{k}".encode() * 4
+    assert 0 < len(known) < 45
+    known["x" * (LONGEST + 1)]
+    assert "x" * (LONGEST + 1) not in known
+    tokenizer = WordTokenizer(PATH)
+    before = len(tokenizer._chunks)
+    tokenizer.encode("y" * 20_000)
+    assert len(tokenizer._chunks) == before

@@ -34,6 +34,8 @@ STRIDE = 128
 IN_DOCUMENT, IN_SENTENCE = 4.0, 48.0
 #: Shortest window that is left unpadded inside a run.
 LEAST_EXACT = 256
+#: Documents turned into Python strings at once.
+TOGETHER = 64
 #: Bits of a sequence number that count the sequences of one partition.
 PARTITION_BITS = 40
 
@@ -142,12 +144,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_i
         run, kind = _Run(), None
         for batch in batches:
             kind = batch.column(0).type
-            for doc_id, content in zip(*(c.to_pylist() for c in batch.columns)):
-                run.add(doc_id, tokenizer.sentences(content), closing)
-                if run.tokens >= RUN_TOKENS:
-                    packed, sequences = run.pieces(first, window, kind)
-                    yield packed
-                    first, run = first + sequences, _Run()
+            for at in range(0, batch.num_rows, TOGETHER):
+                for doc_id, content in zip(*(c.to_pylist() for c in batch.slice(at, TOGETHER).columns)):
+                    run.add(doc_id, tokenizer.sentences(content), closing)
+                    if run.tokens >= RUN_TOKENS:
+                        packed, sequences = run.pieces(first, window, kind)
+                        yield packed
+                        first, run = first + sequences, _Run()
         if run.ids:
             yield run.pieces(first, window, kind)[0]
 

@@ -1,7 +1,7 @@
 """Token ids of whole texts by the public word-level BPE file, at the speed of a dictionary.
 
 The tokenizer drops white space and never joins what white space parts, so a text's ids are its chunks' ids in a
-row. Each Python worker remembers the ids of chunks and words it has met, in bounded dictionaries.
+row. Each Python worker remembers the ids of short chunks and words it has met, in dictionaries bounded by their bytes.
 """
 
 from __future__ import annotations
@@ -10,8 +10,12 @@ import os
 import re
 from array import array
 
-#: Entries a worker remembers before it forgets all and starts anew (memory, not results, depends on it).
-REMEMBERED = 400_000
+#: Bytes a dictionary may take before it forgets all and starts anew (memory, not results, depends on it).
+REMEMBERED_BYTES = 12 << 20
+#: What an entry takes besides characters and ids: two objects' heads and a slot.
+ENTRY_BYTES = 220
+#: Longer keys are looked up each time and not remembered.
+LONGEST = 32
 #: Letters whose lower case and normal form are single code points, and signs that form one token run behind them.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|]*)")
 
@@ -24,17 +28,21 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
-class _Remembering(dict):
-    """A dictionary that finds missing values and forgets all of them when it is full."""
+class Remembering(dict):
+    """A dictionary that finds missing values, remembers those of short keys, and forgets all of them when it is full."""
 
-    def __init__(self, find):
+    def __init__(self, find, limit: int = REMEMBERED_BYTES):
         super().__init__()
-        self._find = find
+        self._find, self._limit, self._taken = find, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[key] = self._find(key)
+        value = self._find(key)
+        if len(key) <= LONGEST:
+            self._taken += ENTRY_BYTES + 2 * len(key) + len(value)
+            if self._taken > self._limit:
+                self.clear()
+                self._taken = 0
+            self[key] = value
         return value
 
 
@@ -48,9 +56,9 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
-        self._words = _Remembering(self._word)
-        self._signs = _Remembering(self._whole)
-        self._chunks = _Remembering(self._chunk)
+        self._words = Remembering(self._word)
+        self._signs = Remembering(self._whole)
+        self._chunks = Remembering(self._chunk)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
