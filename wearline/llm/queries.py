@@ -1,16 +1,19 @@
-"""The queries of the ten operators: thin readers of what the operators return."""
+"""The queries of the operators: thin readers of what the operators return."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wearline.llm import sql
 from wearline.llm.chat import format_conversations, read_back
 from wearline.llm.common import table
 from wearline.llm.fingerprints import neighbour_fingerprints
 from wearline.llm.licenses import scan_licenses
+from wearline.llm.merkle import fold, merkle_manifest, siblings
 from wearline.llm.mixing import copies, mix_to_targets
 from wearline.llm.near_dedup import near_duplicates
 from wearline.llm.neighbours import nearest
@@ -116,10 +119,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0,
+                      F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    manifest = merkle_manifest(table(spark, sf_dir, "documents"), altered={"text": tampered})
+    folded = manifest.withColumn("folded_root", fold(F.col("altered_leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op5_neighbours,
-                                    op6_sharding, op7_quality, op8_near_dedup, op9_mixing, op10_packing)}
+                                    op6_sharding, op7_quality, op8_near_dedup, op9_mixing, op10_packing, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.statements()
