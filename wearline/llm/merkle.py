@@ -117,14 +117,14 @@ def _descend(tree: _Tree, top: DataFrame) -> DataFrame:
         if below is not None:
             known = known.unionByName(wide.where(F.col("_n") > tree.fanout).join(
                 below.drop("_node").withColumnRenamed("_idx", "_parent"), ["_group", "_parent"]))
-        every = [F.col(f"_c{s}.digest") for s in range(tree.fanout)]
-        slots = F.array(*(F.struct(
-            F.lit(s).alias("slot"), F.col(f"_c{s}").alias("node"), F.concat_ws("", *every[:s]).alias("before"),
-            F.concat_ws("", *every[s + 1:]).alias("after")) for s in range(tree.fanout)))
-        own = known.select("_group", "_parent", "_path", *carried, F.explode(slots).alias("_s")).where("_s.node is not null")
-        step = F.array(F.struct("_s.before", "_s.after"))
-        below = own.select("_group", (F.col("_parent") * tree.fanout + F.col("_s.slot")).alias("_idx"),
-                           F.col("_s.node").alias("_node"), F.concat(step, F.col("_path")).alias("_path"), *carried)
+        columns = [F.col(f"_c{s}") for s in range(tree.fanout)]
+        own = known.select(
+            "_group", "_parent", "_path", *carried, F.array(*(c["digest"] for c in columns)).alias("_all"),
+            F.posexplode(F.array(*columns)).alias("_slot", "_node")).where("_node is not null")
+        step = F.struct(F.array_join(F.slice("_all", F.lit(1), F.col("_slot")), "").alias("before"),
+                        F.array_join(F.slice("_all", F.col("_slot") + 2, F.lit(tree.fanout)), "").alias("after"))
+        below = own.select("_group", (F.col("_parent") * tree.fanout + F.col("_slot")).alias("_idx"), "_node",
+                           F.concat(F.array(step), F.col("_path")).alias("_path"), *carried)
     alone = tree.single.join(top, "_group").select("_group", "_node", "_path", *carried)
     return alone if below is None else below.drop("_idx").unionByName(alone)
 
