@@ -20,6 +20,7 @@ from wearline.llm.neighbours import nearest
 from wearline.llm.packing import pack_documents
 from wearline.llm.quality import score_documents, train
 from wearline.llm.sharding import assign_shards
+from wearline.llm.spelling import spelling_variants
 from wearline.llm.url_filters import Rule, host_of, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +120,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0,
                       F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
@@ -130,7 +136,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op5_neighbours,
-                                    op6_sharding, op7_quality, op8_near_dedup, op9_mixing, op10_packing, op13_merkle)}
+                                    op6_sharding, op7_quality, op8_near_dedup, op9_mixing, op10_packing, op12_spelling, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-#: CRC-32 of a text of ASCII characters, bit by bit: each character is mixed in, then shifted out eight times.
-_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
-  string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+#: CRC-32 of a text's UTF-8 bytes, bit by bit: each byte is mixed in, then shifted out eight times. For characters up to
+#: U+00FF, which have the bytes of ASCII, or 195 and 64 less than their number (from U+00C0 on).
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({text}, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+    ELSE [195, -1, -1, -1, -1, -1, -1, -1, -1, unicode(c) - 64, -1, -1, -1, -1, -1, -1, -1, -1] END))),
   lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
 
 
@@ -60,5 +62,29 @@ SELECT doc_id, d AS leaf, subroot, (SELECT d FROM u{upper}) AS root, sha256(proo
   folded AS folded_root, folded = (SELECT d FROM u{upper}) AS verified FROM {climbed} climbed"""
 
 
+_SPELLING = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents),
+low AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id,
+  translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs),
+counted AS (SELECT id, run, count(*) AS n FROM low GROUP BY ALL),
+drawn AS (SELECT run, n, {crc32("id || run")} AS h FROM counted),
+damaged AS (SELECT n, CASE WHEN h % 31 = 0
+  THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM drawn),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+dropped AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT d.word AS a, w.word AS b FROM dropped d JOIN words w ON w.word = d.rest),
+pairs AS (SELECT a, b FROM shorter UNION SELECT b, a FROM shorter UNION
+  SELECT x.word, y.word FROM dropped x JOIN dropped y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+ranked AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near,
+  row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS nth FROM pairs JOIN words ON word = b),
+known AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN b END AS form,
+  CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n FROM words w LEFT JOIN ranked r ON r.a = w.word AND nth = 1),
+chain AS (SELECT word, form, coalesce(form, word) AS root FROM known UNION ALL
+  SELECT c.word, k.form, k.form FROM chain c JOIN known k ON k.word = c.form WHERE k.form IS NOT NULL)
+SELECT k.word, k.form, ends.root, k.n, k.n_near, k.form_n FROM known k JOIN
+  (SELECT c.word, c.root FROM chain c JOIN known e ON e.word = c.root WHERE e.form IS NULL) ends ON ends.word = k.word"""
+
+
 def statements() -> dict[str, str]:
-    return {"op13_merkle": _merkle()}
+    return {"op12_spelling": _SPELLING, "op13_merkle": _merkle()}
