@@ -10,7 +10,7 @@
 3. Groups lie one after the other in tiles: two matrices of code points (letters up to U+00FF, one byte each), padded on
    the right and on the left. A tile is compared with itself shifted by 1, 2, ... rows, and the first unequal column from
    either side gives common prefixes and suffixes of all pairs at once. Every pair is reported by one group only: the one
-   reached by following its prefix wherever that is long enough.
+   on the way that follows its prefix wherever that is long enough.
 4. A word's form is its near word of largest count, if that is `factor` times as frequent; roots follow forms by pointer
    doubling (counts grow on the way, so it ends after few rounds).
 
@@ -89,24 +89,25 @@ def count_words(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def _halved(rows: DataFrame) -> DataFrame:
-    """Each row (c, a, b, word, n), of words that share `a` code points in front and `b` behind, twice: sharing more in
-    front, and more behind, by half of what is missing to c - 1."""
+    """Each row (c, way, a, b, word, n), of words that share `a` code points in front and `b` behind, twice: sharing more
+    in front, and more behind, by half of what is missing to c - 1. `way` has a bit for each choice made, after a 1."""
     step = F.expr("int((c - a - b) div 2)")  # half of c - 1 - a - b, rounded up
-    more = F.explode(F.array(F.struct((F.col("a") + step).alias("a"), "b"),
-                             F.struct("a", (F.col("b") + step).alias("b")))).alias("_s")
-    rows = rows.select("c", more, "word", "n").select("c", "_s.a", "_s.b", "word", "n")
+    more = F.explode(F.array(
+        F.struct((F.col("way") * 2).alias("way"), (F.col("a") + step).alias("a"), "b"),
+        F.struct((F.col("way") * 2 + 1).alias("way"), "a", (F.col("b") + step).alias("b")))).alias("_s")
+    rows = rows.select("c", more, "word", "n").select("c", "_s.*", "word", "n")
     head, tail = F.expr("left(word, a)"), F.expr("right(word, b)")
-    return rows.withColumn("key", F.concat_ws(" ", "c", "a", head, tail))
+    return rows.withColumn("key", F.concat_ws(" ", "c", "way", head, tail))
 
 
 def _tiles(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Rows (key, c, a, b, word, n) sorted by key, in lists of whole groups."""
+    """Rows (key, c, way, word, n) sorted by key, in lists of whole groups."""
     tile: list[tuple] = []
     for key, group in groupby(rows, key=lambda r: r[0]):
         some = list(group)  # at most TILE words, or as many as there are letters
         if len(some) < 2:
             continue
-        width = max(len(some[0][4]), len(tile[0][4]) if tile else 0) + 1
+        width = max(len(some[0][3]), len(tile[0][3]) if tile else 0) + 1
         if tile and (len(tile) + len(some) > TILE_ROWS or (len(tile) + len(some)) * width > TILE_BYTES):
             yield tile
             tile = []
@@ -117,13 +118,14 @@ def _tiles(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 
 def near_in_tile(tile: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of the near pairs that are reported by their group."""
-    words = [r[4].encode("latin-1") for r in tile]
+    words = [r[3].encode("latin-1") for r in tile]
     length = np.array([len(w) for w in words])
     width = int(length.max()) + 1  # the last column is padding: a word and its extension differ there at the latest
     ahead = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
     behind = np.frombuffer(b"".join(w[::-1].ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
-    c, a, b = (np.array([r[k] for r in tile]) for k in (1, 2, 3))
+    c, way = (np.array([r[k] for r in tile]) for k in (1, 2))
     group = np.cumsum([False] + [x[0] != y[0] for x, y in zip(tile, tile[1:])])
+    depth = 1 << np.array([w.bit_length() - 1 for w in way.tolist()])  # ways of this many choices start here
     firsts, seconds = [], []
     shift = 1
     while True:
@@ -140,16 +142,14 @@ def near_in_tile(tile: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
             suffix = (behind[i] != behind[j]).argmax(axis=1)
             near = prefix + suffix >= c[i] - 1
             i, j, prefix = i[near], j[near], prefix[near]
-            front, back = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
-            while len(i):  # all groups of one depth share as much in all
+            taken, front, back = np.ones(len(i), np.int64), np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+            while (open_ := taken < depth[i]).any():
                 step = (c[i] - front - back) // 2
-                open_ = front + back < a[i] + b[i]
-                if not open_.any():
-                    break
                 left = prefix - front >= step
                 front += np.where(open_ & left, step, 0)
                 back += np.where(open_ & ~left, step, 0)
-            own = front == a[i]
+                taken = np.where(open_, 2 * taken + ~left, taken)
+            own = taken == way[i]
             firsts.append(i[own])
             seconds.append(j[own])
         shift += 1
@@ -172,11 +172,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
             i, j = near_in_tile(tile)
             if len(i):
                 one, two = np.concatenate([i, j]), np.concatenate([j, i])
-                word, n = pa.array([r[4] for r in tile], pa.string()), pa.array([r[5] for r in tile], pa.int64())
+                word, n = pa.array([r[3] for r in tile], pa.string()), pa.array([r[4] for r in tile], pa.int64())
                 yield pa.record_batch({"word": word.take(one), "n": n.take(one), "near": word.take(two), "near_n": n.take(two)})
 
     length = F.char_length("word")
-    start = words.select(F.explode(F.array(length, length + 1)).alias("c"), F.lit(0).alias("a"), F.lit(0).alias("b"), "word", "n")
+    start = words.select(F.explode(F.array(length, length + 1)).alias("c"), F.lit(1).cast("long").alias("way"),
+                         F.lit(0).alias("a"), F.lit(0).alias("b"), "word", "n")
     level = stored(_halved(start), "spelling-halves")
     ready = None
     while True:
@@ -189,7 +190,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         small = level.join(large, "key", "left_anti").select(level.columns)
         ready = small if ready is None else ready.unionByName(small)
         level = stored(_halved(level.join(large, "key", "left_semi")), "spelling-halves")
-    tiles = ready.select("key", "c", "a", "b", "word", "n").repartition("key").sortWithinPartitions("key", "word")
+    tiles = ready.select("key", "c", "way", "word", "n").repartition("key").sortWithinPartitions("key", "word")
     return tiles.mapInArrow(compare, "word string, n long, near string, near_n long")
 
 
