@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.llm import sql
+from wearline.llm.byte_bpe import decode_documents, encode_documents
 from wearline.llm.chat import format_conversations, read_back
 from wearline.llm.common import table
 from wearline.llm.fingerprints import neighbour_fingerprints
@@ -120,6 +121,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coding = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), *coding), *coding)
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling_variants(table(spark, sf_dir, "documents"))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
@@ -136,7 +146,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (op1_chat, op2_fingerprints, op3_url_filter, op4_license_scan, op5_neighbours,
-                                    op6_sharding, op7_quality, op8_near_dedup, op9_mixing, op10_packing, op12_spelling, op13_merkle)}
+                                    op6_sharding, op7_quality, op8_near_dedup, op9_mixing, op10_packing, op11_byte_bpe,
+                                    op12_spelling, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
