@@ -24,7 +24,7 @@ import base64
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import groupby, islice
+from itertools import groupby, islice, takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -97,19 +97,17 @@ class _Splitter:
             return text
         return text.translate(self._table)  # as many code points as before
 
-    def tokens(self, text: str) -> Iterator[list[str]]:
-        """Lists of consecutive pre-tokens; together they are the text."""
+    def tokens(self, text: str, begin: int = 0, stop: int | None = None) -> Iterator[list[str]]:
+        """Lists of consecutive pre-tokens, together the text between two splits. What lies behind `stop` is still looked
+        at: white space ends differently before a word and at the end of a text."""
         plain = self._plain(text)
-        found = self._tokens.finditer(plain)
-        if plain is text:
-            if len(text) <= CHUNK:
-                yield self._tokens.findall(text)
-                return
-            while some := [m.group() for m in islice(found, TOKENS)]:
-                yield some
-        else:
-            while some := [text[m.start():m.end()] for m in islice(found, TOKENS)]:
-                yield some
+        stop = len(text) if stop is None else stop
+        if plain is text and not begin and stop == len(text) <= CHUNK:
+            yield self._tokens.findall(text)
+            return
+        found = takewhile(lambda m: m.start() < stop, self._tokens.finditer(plain, begin))
+        while some := [text[m.start():m.end()] for m in islice(found, TOKENS)]:
+            yield some
 
     def ends(self, text: str) -> Iterator[int]:
         return (m.end() for m in self._tokens.finditer(self._plain(text)))
@@ -142,9 +140,9 @@ class ByteCoder:
     def _encoded(self, token: str) -> bytes:
         return np.array(self._merges._core_bpe.encode_single_piece(token.encode()), "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, begin: int = 0, stop: int | None = None) -> bytes:
         ids = self._ids.__getitem__
-        return b"".join(b"".join(map(ids, some)) for some in self.splitter.tokens(text))
+        return b"".join(b"".join(map(ids, some)) for some in self.splitter.tokens(text, begin, stop))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -262,7 +260,7 @@ def _encoded_pieces(pieces: DataFrame, coding: Coding) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                ids = [coder.encode(text[entry - start:leave - start]) for text, start, entry, leave in zip(
+                ids = [coder.encode(text, entry - start, leave - start) for text, start, entry, leave in zip(
                     *(part.column(c).to_pylist() for c in ("text", "start", "entry", "leave")))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "doc_id", "chunk")), pa.array(ids, pa.binary())],
                                                  ["doc", "doc_id", "chunk", "ids"])
