@@ -44,5 +44,6 @@ def test_library_holds_no_forbidden_calls():
 
 
 def test_streams_agree_with_their_sql(spark, con):
-    for name in ("risk_scores_stream", "late_data_audit", "stream_progress", "stream_flow_rollup"):
+    for name in ("silver_stream", "risk_scores_stream", "health_current_stream", "serving_snapshot", "late_data_audit",
+                 "stream_progress", "stream_flow_rollup"):
         assert difference(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) == ""

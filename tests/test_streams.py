@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from builders import at, reading, readings, rows, station_master
 from conftest import SF
+from wearline.constants import FEATURES, SENSORS
 from wearline.operators.state import latest_per_key
 from wearline.plans import observability
 from wearline.plans.observability import rows_written
@@ -72,7 +73,8 @@ def test_streamed_scores_equal_batch_scores_after_restarts(spark, site):
     streamed = run.scores()
     newest = site.table("readings_clean").agg(F.max("ts")).scalar()
     due = site.table("risk_scores").filter(F.col("window_end") <= newest - F.expr("INTERVAL 10 SECONDS"))
-    same = ["station_id", "window_end", "n_readings", "failure_probability", "risk_band", "top_signal"]
+    same = ["station_id", "window_end", "n_readings", "failure_probability", "risk_band", "top_signal", *FEATURES,
+            *[f"avg_{s}" for s in SENSORS]]  # bit for bit: nothing is rounded
     assert streamed.count() == due.count() > 0
     assert streamed.select(same).exceptAll(due.select(same)).isEmpty()
     current = run.current.read()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from builders import at, reading, readings, rows, station_master
 from wearline.constants import FEATURES, SENSORS
 from wearline.operators import clean, scoring
-from wearline.operators.windows import paned_window_features, window_features
+from wearline.operators.windows import paned_window_features, streamed_window_features, window_features
 
 
 def _normal(spark, data, *stations):
@@ -133,3 +133,17 @@ def test_incomplete_windows_are_dropped_and_counted(spark):
     windows = paned_window_features(df)
     assert rows(clean.COMPLETE_WINDOW.drop(windows), "n_readings") == [(110,), (110,), (120,)]
     assert clean.COMPLETE_WINDOW.summary(windows, "w").first().failed == windows.count() - 3
+
+
+def test_features_do_not_depend_on_the_order_of_readings(spark):
+    """Values whose floating-point sums differ with their order."""
+    some = readings(spark, [reading("P1-A01", k / 8, f"e{k}", vibration_rms=0.1 + (k * 7919 % 1000) / 3.0,
+                                    acoustic_db=[1e15, -1e15, 0.3, float("nan"), float("inf"), 1e-9][k % 6])
+                            for k in range(1200)])
+    scaled = clean.normalize(some, station_master(spark, ("P1-A01", "P1", "P1-A", "press")))
+    forms = [paned_window_features(scaled.orderBy(F.rand(seed)).repartition(3), scattered=scattered)
+             for seed in (1, 2) for scattered in (True, False)]
+    forms.append(streamed_window_features(scaled.repartition(4)))
+    # As text: equal numbers have equal digits, and NaN equals itself.
+    first, *others = [sorted(tuple(map(repr, r)) for r in f.select(sorted(f.columns)).collect()) for f in forms]
+    assert len(first) == 26 and all(other == first for other in others)

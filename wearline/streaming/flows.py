@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from wearline.operators.clean import COMPLETE_WINDOW, clean
 from wearline.operators.scoring import Scorer, by_scorecard, risk_scores
 from wearline.operators.state import latest_per_key
-from wearline.operators.windows import window_features
+from wearline.operators.windows import streamed_window_features
 from wearline.sources.storage import VersionedTable, append_stream
 from wearline.streaming.progress import WRITTEN, Run, follow
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ def readings_clean(
 
 def scored_windows(silver: DataFrame, scorer: Scorer = by_scorecard, model_name: str = "scorecard") -> DataFrame:
     """Windows are scored in the query that closes them; no table lies between."""
-    windows = COMPLETE_WINDOW.observe(window_features(silver), "risk_scores_drop")
+    windows = COMPLETE_WINDOW.observe(streamed_window_features(silver), "risk_scores_drop")
     return risk_scores(COMPLETE_WINDOW.drop(windows), scorer, model_name)
 
 
