@@ -437,6 +437,18 @@ def health_current_stream(s: Site) -> DataFrame:
         *STATION_KEYS, "window_end", "n_readings", "failure_probability", "risk_band", "top_signal")
 
 
+@query
+def health_changes_stream(s: Site) -> DataFrame:
+    """Current and fresh stations, out of the changes that keyed state emits."""
+    return replay.health_changes(s).select(
+        *STATION_KEYS, "window_end", "n_readings", "failure_probability", "risk_band", "top_signal")
+
+
+@query
+def work_orders_stream(s: Site) -> DataFrame:
+    return _plain(replay.work_orders(s))
+
+
 @query
 def serving_snapshot(s: Site) -> DataFrame:
     return replay.serving(s).select("station_id", "window_end", "failure_probability", "risk_band")

@@ -39,3 +39,6 @@ NOMINAL = {
 
 FEATURES = tuple(f"{s}_{stat}" for s in SENSORS for stat in STATISTICS)
 STATION_KEYS = ("station_id", "plant_id", "line_id", "station_type", "criticality")
+
+#: Fixed value: a station whose newest window is older than this is not shown as current.
+FRESH_S = 600

@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wearline.constants import FRESH_S
 from wearline.functions.columns import plus_ms, station_position
 from wearline.operators.clean import COMPLETE_WINDOW, clean
 from wearline.operators.scoring import Scorer, by_scorecard, risk_scores
@@ -33,8 +34,6 @@ def _clocks() -> dict[str, Column]:
     }
 
 
-#: Fixed value: a station whose newest window is older than this is not shown as current.
-FRESH_S = 600
 STORED = ("readings_clean", "risk_scores", "health_current", "training_features")
 
 

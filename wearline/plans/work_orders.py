@@ -11,7 +11,7 @@ from wearline.operators.clean import WORK_ORDER_DOMAIN
 from wearline.operators.recent import as_of_column
 from wearline.operators.state import current_from_changes
 
-_LIVE_COLUMNS = (
+LIVE_COLUMNS = (
     "work_order_id", "station_id", "plant_id", "line_id", "priority", "status", "failure_probability", "risk_band",
     "top_signal", "description", "assigned_technician_id", "created_by", "created_at", "updated_at", "completed_at",
 )
@@ -19,7 +19,7 @@ _OPEN = ("open", "in_progress")
 
 
 def work_orders_current(changes: DataFrame) -> DataFrame:
-    return current_from_changes(changes, "work_order_id").select(*_LIVE_COLUMNS)
+    return current_from_changes(changes, "work_order_id").select(*LIVE_COLUMNS)
 
 
 def recent_work_orders(orders: DataFrame, n: int = 50) -> DataFrame:

@@ -1,15 +1,18 @@
-"""Three streaming queries: trusted readings, risk scores, current state. Each has its own watermark and checkpoint."""
+"""The streaming queries: trusted readings, risk scores, current state, changes by key. Each has its own watermark and
+checkpoint."""
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from wearline.constants import FRESH_S
 from wearline.operators.clean import COMPLETE_WINDOW, clean
 from wearline.operators.scoring import Scorer, by_scorecard, risk_scores
 from wearline.operators.state import latest_per_key
 from wearline.operators.windows import streamed_window_features
 from wearline.sources.storage import VersionedTable, append_stream
+from wearline.streaming.keyed import newest_images
 from wearline.streaming.progress import WRITTEN, Run, follow
 from pyspark.sql import functions as F
 
@@ -62,6 +65,25 @@ def serving_copy(scores: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     return scores.writeStream.queryName("serving_copy").foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
+HEALTH_ORDER = ("window_end", "scored_at")
+
+
+def health_changes(scores: DataFrame, path: str, checkpoint: str, silent: str = f"{FRESH_S} seconds") -> DataStreamWriter:
+    """Changes of the current row per station: only stations that a micro-batch scores, or that have fallen silent."""
+    changes = newest_images(scores, "station_id", HEALTH_ORDER, silent=("window_end", silent))
+    return append_stream(_counted(changes, "health_changes"), path, checkpoint, "health_changes")
+
+
+ORDER_LOG = ("lsn", "changed_at")
+
+
+def work_order_changes(log: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Live work orders out of a change log that comes in any order: images from before an update never count."""
+    images = log.where(F.col("change_type").isin("insert", "update_postimage", "delete"))
+    changes = newest_images(images, "work_order_id", ORDER_LOG, deleted=("change_type", "delete"))
+    return append_stream(_counted(changes, "work_order_changes"), path, checkpoint, "work_order_changes")
+
+
 def _start(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
     # One state row per event id and per open window: too much for the JVM heap on a real fleet, whoever made the session.
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
