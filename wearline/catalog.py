@@ -12,6 +12,7 @@ from wearline.operators.metrics import MAINTENANCE, RISK, WORK_ORDERS, with_stat
 from wearline.operators.recent import trailing
 from wearline.plans import evaluation, exposure, maintenance, observability, training, value, work_orders
 from wearline.plans.site import Site, open_site
+from wearline.session import scratch
 from wearline.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +128,17 @@ def maintenance_events(s: Site) -> DataFrame:
     return s.maintenance().withColumn("event_date", F.col("event_date").cast("string"))
 
 
+@query
+def maintenance_events_view(s: Site) -> DataFrame:
+    """The stored view after the log has come in three parts, refreshed after each."""
+    root, log = scratch(s.spark, "maintenance-view"), s.raw("maintenance_log")
+    view, parts = maintenance.maintenance_view(s.spark, f"{root}/view"), F.pmod(F.year("event_ts"), F.lit(3))
+    for part in range(3):
+        log.where(parts == part).write.mode("append").parquet(f"{root}/log")
+        view.refresh(f"{root}/log", log.schema, s.raw("station_master"))
+    return view.read().withColumn("event_date", F.col("event_date").cast("string"))
+
+
 @query
 def repairs_by_type(s: Site) -> DataFrame:
     return _round(maintenance.repairs_by_type(s.raw("maintenance_log"), s.raw("station_master")), 2,
@@ -449,6 +461,17 @@ def work_orders_stream(s: Site) -> DataFrame:
     return _plain(replay.work_orders(s))
 
 
+@query
+def keyed_serving_stream(s: Site) -> DataFrame:
+    return replay.keyed_serving(s).select("station_id", "window_end", "failure_probability", "risk_band")
+
+
+@query
+def sink_commits(s: Site) -> DataFrame:
+    """Rows per stream, by the log of its sink."""
+    return replay.commits(s).groupBy("writer").agg(F.sum("rows").alias("rows_written"))
+
+
 @query
 def serving_snapshot(s: Site) -> DataFrame:
     return replay.serving(s).select("station_id", "window_end", "failure_probability", "risk_band")
@@ -676,6 +699,17 @@ def lineage_rollup(s: Site) -> DataFrame:
     return observability.lineage_rollup(s.raw("lineage_edges"))
 
 
+@query
+def lineage_by_schema(s: Site) -> DataFrame:
+    """Edges that touch one of two schemas."""
+    return observability.lineage_rollup(s.raw("lineage_edges"), ("core.", "ml."))
+
+
+@query
+def lineage_into_tables(s: Site) -> DataFrame:
+    return observability.lineage_like(s.raw("lineage_edges"), "%.table\\_1%")
+
+
 @query
 def usage_by_requester(s: Site) -> DataFrame:
     return observability.usage_by_requester(s.raw("usage_log"), s.raw("served_entities"), "station-risk")

@@ -1,9 +1,10 @@
 """Maintenance log: context, technician assignment, repair rollups."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wearline.functions.columns import digest
+from wearline.sources.refreshed import RefreshedView
 
 
 def maintenance_events(log: DataFrame, station_master: DataFrame) -> DataFrame:
@@ -13,6 +14,11 @@ def maintenance_events(log: DataFrame, station_master: DataFrame) -> DataFrame:
     return log.join(stations, "station_id").withColumn("event_date", F.to_date("event_ts"))
 
 
+def maintenance_view(spark: SparkSession, root: str) -> RefreshedView:
+    """`maintenance_events`, stored and refreshed by new files of the log."""
+    return RefreshedView(spark, root, maintenance_events)
+
+
 def repairs_by_type(log: DataFrame, station_master: DataFrame) -> DataFrame:
     stations = station_master.select("station_id", "station_type")
     return (

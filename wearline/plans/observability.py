@@ -171,15 +171,19 @@ def flow_latest_status(log: DataFrame) -> DataFrame:
 # -- commits, lineage, usage -------------------------------------------------------------------------------------
 
 def commit_cadence(commits: DataFrame, seconds: int = 600, as_of: datetime | None = None) -> DataFrame:
-    """Commits per writer in the trailing time and the mean gap between one and the next.
+    """Commits per writer in the trailing time and the mean gap between each and the one before.
 
-    The gaps between consecutive commits add up to last minus first, so their mean needs neither an order nor a
-    window over a writer's whole log.
+    The first one's gap reaches back to the last commit ahead of the trailing time, if there is one. Consecutive gaps add
+    up to last minus first, so their mean needs neither an order nor a window over a writer's whole log.
     """
     second = F.unix_seconds("ts")
-    return trailing(commits, "ts", seconds, as_of).groupBy("writer").agg(
-        F.count(F.lit(1)).alias("commits"),
-        F.round(F.try_divide(F.max(second) - F.min(second), F.count(F.lit(1)) - 1), 1).alias("avg_gap_s"))
+    recent = F.col("ts") > as_of_column(commits, "ts", as_of) - F.expr(f"INTERVAL {seconds} SECOND")
+    spans = commits.groupBy("writer").agg(
+        F.count_if(recent).alias("commits"), F.max(second).alias("_last"), F.min(F.when(recent, second)).alias("_first"),
+        F.max(F.when(~recent, second)).alias("_ahead")).where("commits > 0")
+    gaps = F.when(F.col("_ahead").isNull(), F.col("commits") - 1).otherwise(F.col("commits"))
+    mean = F.try_divide(F.col("_last") - F.coalesce("_ahead", "_first"), gaps)
+    return spans.select("writer", "commits", F.round(mean, 1).alias("avg_gap_s"))
 
 
 def commit_writers(commits: DataFrame) -> DataFrame:
@@ -195,9 +199,17 @@ def lineage_rollup(edges: DataFrame, schemas: tuple[str, ...] = ("",)) -> DataFr
             hit = hit | F.col(column).startswith(schema)
         return hit
 
-    return edges.filter(inside("source_table") | inside("target_table")).groupBy(
-        "source_table", "target_table", "entity_type"
-    ).agg(F.max("event_time").alias("last_seen"), F.count(F.lit(1)).alias("events"))
+    return _edges_seen(edges.filter(inside("source_table") | inside("target_table")))
+
+
+def lineage_like(edges: DataFrame, pattern: str) -> DataFrame:
+    """Edges into tables whose whole name matches a LIKE pattern."""
+    return _edges_seen(edges.filter(F.col("target_table").like(pattern)))
+
+
+def _edges_seen(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("source_table", "target_table", "entity_type").agg(
+        F.max("event_time").alias("last_seen"), F.count(F.lit(1)).alias("events"))
 
 
 def usage_by_requester(usage: DataFrame, served: DataFrame, endpoint: str) -> DataFrame:

@@ -45,6 +45,7 @@ class RefreshedView:
     def __init__(self, spark: SparkSession, root: str, build: Callable[[DataFrame, DataFrame], DataFrame], keep: int = 5):
         self.spark, self.build, self.keep = spark, build, keep
         self._data, self._manifests = Versions(spark, f"{root}/data"), Versions(spark, f"{root}/manifest")
+        self._listings = Versions(spark, f"{root}/listing")
 
     def _manifest(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self._manifests.path(version))
@@ -54,9 +55,11 @@ class RefreshedView:
         return sorted(r.part for r in self._manifest(version).select("part").distinct().toLocalIterator())
 
     def refresh(self, folder: str, schema: StructType, dimension: DataFrame) -> Refresh:
-        there, mark = listing(self.spark, folder), fingerprint(dimension)
         last = max(self._manifests.committed(), default=None)
         version, rebuilt = 0 if last is None else last + 1, True
+        # Written first: what is read and what the manifest says are the same files, whatever arrives meanwhile.
+        listing(self.spark, folder).write.mode("overwrite").parquet(self._listings.path(version))
+        there, mark = self.spark.read.parquet(self._listings.path(version)), fingerprint(dimension)
         new, taken = there, None
         if last is not None:
             taken = self._manifest(last)
@@ -66,6 +69,7 @@ class RefreshedView:
             new = there if rebuilt else there.join(taken, _FILE, "left_anti")
         paths = [r.path for r in new.select("path").toLocalIterator()]  # names of files to open, as a scan lists them
         if not paths and not rebuilt:
+            self._listings.drop([version])
             return Refresh(last, 0, False)
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         self.build(rows, dimension).write.mode("overwrite").parquet(self._data.path(version))
@@ -89,5 +93,6 @@ class RefreshedView:
         committed = self._manifests.committed()
         kept = committed[-self.keep:]
         used = {part for version in kept for part in self._parts(version) or [version]}
+        self._listings.drop(self._listings.there())
         self._manifests.drop(set(committed) - set(kept))
         self._data.drop(v for v in self._data.there() if v < kept[-1] and v not in used)

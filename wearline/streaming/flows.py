@@ -11,6 +11,7 @@ from wearline.operators.clean import COMPLETE_WINDOW, clean
 from wearline.operators.scoring import Scorer, by_scorecard, risk_scores
 from wearline.operators.state import latest_per_key
 from wearline.operators.windows import streamed_window_features
+from wearline.sources.keyed_store import KeyedStore
 from wearline.sources.storage import VersionedTable, append_stream
 from wearline.streaming.keyed import newest_images
 from wearline.streaming.progress import WRITTEN, Run, follow
@@ -65,6 +66,14 @@ def serving_copy(scores: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     return scores.writeStream.queryName("serving_copy").foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
+SERVED_KEYS, SERVED_ORDER = ("station_id", "window_end"), ("scored_at",)
+
+
+def keyed_serving(scores: DataFrame, store: KeyedStore, checkpoint: str) -> DataStreamWriter:
+    """Score rows for a serving store, once per (station, window end) whatever the batch they come with."""
+    return scores.writeStream.queryName("keyed_serving").foreachBatch(store.merge).option("checkpointLocation", checkpoint)
+
+
 HEALTH_ORDER = ("window_end", "scored_at")
 
 
