@@ -108,3 +108,29 @@ def test_words_end_at_signs_and_spaces_of_any_script(spark):
     assert [rows[i]._tokens for i in (1, 2, 3, 4)] == [4, 4, 5, 5]
     words = set(mixing._featured(docs.where("doc_id = 5"), "text", ["doc_id"]).first()._buckets[:2])
     assert words <= set(rows[1]._buckets) and words <= set(rows[2]._buckets)
+
+
+@pytest.mark.parametrize("toxic", [0.5, 0.9, 0.1])
+def test_domains_of_any_share_are_told_apart(spark, toxic):
+    """Every toxic text has two words that no clean one has, among words that all share."""
+    def text(i):
+        shared = " ".join(f"w{(i * 31 + j * 7) % 97}" for j in range(30))
+        return f"grue {shared} snark" if i % 10 < toxic * 10 else shared
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(1000)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 10 < toxic * 10, "toxic").otherwise("clean").alias("domain"))
+    mixture = mixing.mix_to_targets(docs, labels.where("doc_id % 3 = 0"), {"clean": 0.9, "toxic": 0.1})
+    found = mixture.rows.join(labels, "doc_id").where("doc_id % 3 <> 0").toPandas()
+    best = found["_p"].map(np.argmax).map(dict(enumerate(mixture.domains)))
+    assert (best == found["domain"]).mean() > 0.95
+    wanted = {d: g for d, (_, _, g) in mixture.totals.items()}
+    share = found.assign(taken=found["_tokens"] * found["_rate"]).groupby("domain")["taken"].sum()
+    assert abs(share["toxic"] / share.sum() - 0.1) < 0.02 and abs(wanted["toxic"] / sum(wanted.values()) - 0.1) < 1e-9
+
+
+def test_a_descent_that_does_not_settle_fails(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    docs = spark.createDataFrame([(i, "good " * 3 if i % 2 else "bad " * 5) for i in range(100)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "toxic").otherwise("clean").alias("domain"))
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.mix_to_targets(docs, labels, {"clean": 0.8, "toxic": 0.2}, least=0.3, most=1.2)

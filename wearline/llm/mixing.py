@@ -3,9 +3,10 @@
 1. A labelled table (document, domain) trains a naive Bayes model on hashed words and sign runs, and on how long and
    how repetitive a text is. For each bucket and domain the evidence is the log of the domain's share among documents
    with that bucket over its share overall, with `SMOOTHING` documents of the overall mix added. Only telling buckets
-   count: those that make a domain `STRONG` times as likely, by more than `SIGNIFICANT` standard deviations; common
-   words, each a little rarer in one domain, are not independent and must not outvote a telling one. A telling bucket
-   that a document lacks is evidence too. The model is buckets x domains numbers, whatever the corpus.
+   count: those `STRONG` times as frequent in a domain as in the other domains together (a ratio without a ceiling, also
+   for a domain that most documents have), by more than `SIGNIFICANT` standard deviations; common words, each a little
+   rarer in one domain, are not independent and must not outvote a telling one. A telling bucket that a document lacks
+   is evidence too. The model is buckets x domains numbers, whatever the corpus.
 2. Each document gets posteriors p over the domains.
 3. Rates x >= 0 minimise r' H r, with residuals r = sum x t p - target over the domains, t being tokens, and the weights
    H the inverse of sum t p p', by projected gradient descent with momentum and steps scaled by 1 / t. With these weights one step
@@ -39,8 +40,9 @@ BUCKETS = 65536
 #: to every task.
 LABELLED = 40_000
 SMOOTHING = 1.0
-SIGNIFICANT, STRONG = 4.0, 2.0
-STEPS = 60
+SIGNIFICANT, STRONG = 4.0, 3.0
+#: Steps after which the descent is given up: its stop test holds long before, or its result is no mixture.
+STEPS = 600
 #: Largest miss of a target, as a share of all tokens, at which the descent ends.
 TOLERANCE = 1e-5
 #: Miss of a target, as a share of all wanted tokens, that is reported.
@@ -101,8 +103,11 @@ def _fit(featured: DataFrame, id_column: str, labels: DataFrame, domains: list[s
     for bucket, *c in counts.collect():  # at most BUCKETS rows
         expected = [sum(c) * share for share in shares]
         likelier = [(o + SMOOTHING * s) / (e + SMOOTHING * s) for o, e, s in zip(c, expected, shares)]
-        if any(r >= STRONG and o - e > SIGNIFICANT * (e * (1 - s) + 1) ** 0.5
-               for r, o, e, s in zip(likelier, c, expected, shares)):
+        # How frequent among a domain's documents, against all others'.
+        here = [(o + SMOOTHING * s) / (m + SMOOTHING) for o, s, m in zip(c, shares, n)]
+        there = [(sum(c) - o + SMOOTHING * s) / (sum(n) - m + SMOOTHING) for o, s, m in zip(c, shares, n)]
+        if any(h >= STRONG * t and o - e > SIGNIFICANT * (e * (1 - s) + 1) ** 0.5
+               for h, t, o, e, s in zip(here, there, c, expected, shares)):
             telling[bucket] = True
             for k, r in enumerate(likelier):
                 absent = log(1 - min(0.95, r * sum(c) / sum(n)))
@@ -192,15 +197,20 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     steps: list[list[float]] = []
     reached = before = np.array(sums(steps))
     momentum, speed = 0.0, 1.0
-    for _ in range(STEPS):
+    while True:
         if np.abs(reached - goal).max() <= TOLERANCE * max(sum(now), 1.0):
             break
+        if len(steps) == STEPS:
+            raise RuntimeError(f"the mixture does not settle within {STEPS} steps: reached {reached.tolist()}, wanted {goal}")
         # What the point ahead reaches follows from the last two: sums are linear in the rates.
         ahead = reached + momentum * (reached - before)
         faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
         momentum, speed = (speed - 1) / faster, faster
         steps.append([*(weight @ (ahead - goal)).tolist(), momentum])
         before, reached = reached, np.array(sums(steps))
+        miss, last = (float((at - goal) @ weight @ (at - goal)) for at in (reached, before))
+        if miss > last:  # momentum has carried the rates too far: the next step starts from where they are
+            steps[-1][-1], momentum, speed = 0.0, 0.0, 1.0
         if np.abs(reached - before).max() <= TOLERANCE * 0.01 * max(sum(now), 1.0):
             break  # the bounds leave nothing to gain
     rows = with_p(featured).drop("_buckets").withColumn("_rate", _rate(steps, least, most, low))
