@@ -54,18 +54,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _draw(seed: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform numbers in (0, 1) of 32 bits each."""
-    bits = _mix(seed + np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    low = bits & np.uint64(0xFFFFFFFF)
-    bits >>= np.uint64(32)
-    return (bits + 0.5) * 2.0 ** -32, (low + 0.5) * 2.0 ** -32
+    """Two uniform numbers in (0, 1) of 23 bits each, in single precision."""
+    bits = _mix(seed + np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.uint32)
+    halves = (bits >> np.uint32(9)).astype(np.float32)
+    halves += np.float32(0.5)
+    halves *= np.float32(2.0 ** -23)
+    return halves[:, ::2], halves[:, 1::2]
 
 
 def samples(terms: list[tuple[str, float]], coordinates: int = COORDINATES) -> np.ndarray:
     """ln(a) of each weighted term in each coordinate."""
     keys = np.frombuffer(b"".join([hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
                                    for w, _ in terms]), dtype="<u8")
-    weight = np.log(np.array([w for _, w in terms], dtype=np.float64))[:, None]
+    weight = np.log(np.array([w for _, w in terms], dtype=np.float64)).astype(np.float32)[:, None]
     places = np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
     out = np.empty((len(terms), coordinates), dtype=np.float32)
     for at in range(0, len(terms), IN_CACHE):
@@ -111,8 +112,9 @@ class Sketcher:
             some = full[at:at + 16]
             terms = [list(documents[i].items()) for i in some]
             rows = self._rows(terms)
-            starts = np.cumsum([0] + [len(t) for t in terms[:-1]])
-            least = np.minimum.reduceat(self._table[rows], starts, axis=0)
+            ends = np.cumsum([len(t) for t in terms]).tolist()
+            # One minimum a document: it runs over whole rows at once, unlike a reduction by places of the rows.
+            least = np.stack([self._table[rows[end - len(t):end]].min(axis=0) for t, end in zip(terms, ends)])
             bits = (_mix(least.view(np.uint32).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
             for k, i in enumerate(some):
                 out[i] = bits[k]
