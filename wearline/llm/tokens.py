@@ -10,10 +10,10 @@ import os
 import re
 from array import array
 
-#: Bytes a dictionary may take before it forgets all and starts anew (memory, not results, depends on it).
-REMEMBERED_BYTES = 12 << 20
-#: What an entry takes besides characters and ids: two objects' heads and a slot.
-ENTRY_BYTES = 220
+#: Bytes a dictionary may take (time and memory depend on it, not results).
+REMEMBERED_BYTES = 96 << 20
+#: Most that an entry of a short key can take: key and value at their widest, and a slot. Usual ones take half of it.
+ENTRY_BYTES = 480
 #: Longer keys are looked up each time and not remembered.
 LONGEST = 32
 #: Letters whose lower case and normal form are single code points, and signs that form one token run behind them.
@@ -29,19 +29,21 @@ def _byte_letters() -> list[str]:
 
 
 class Remembering(dict):
-    """A dictionary that finds missing values, remembers those of short keys, and forgets all of them when it is full."""
+    """A dictionary that finds missing values and remembers those of short keys. When half its bytes are taken, what it
+    holds becomes the old half: keys met again move over, the others go with the next change, so frequent keys stay."""
 
     def __init__(self, find, limit: int = REMEMBERED_BYTES):
         super().__init__()
-        self._find, self._limit, self._taken = find, limit, 0
+        self._find, self._most, self._old = find, max(1, limit // 2 // ENTRY_BYTES), {}
 
     def __missing__(self, key):
-        value = self._find(key)
+        value = self._old.get(key)
+        if value is None:
+            value = self._find(key)
         if len(key) <= LONGEST:
-            self._taken += ENTRY_BYTES + 2 * len(key) + len(value)
-            if self._taken > self._limit:
+            if len(self) >= self._most:
+                self._old = dict(self)
                 self.clear()
-                self._taken = 0
             self[key] = value
         return value
 
