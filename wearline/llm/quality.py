@@ -2,41 +2,50 @@
 
 The content view is hashed runs of three bytes; the metadata view is language, source and the measures of a page's form
 (length, lines, words, shares of upper-case letters, digits and signs, repetition). Each view has a logistic model.
-In each round both score a pool of unlabelled documents, and each hands the ones it is surest of, as many of either
-class as the labelled share says, to the other as pseudo-labels; then both are fitted anew. Labelled documents that were
-held back calibrate each view (a logistic curve over its score) and the sum of both, and set the cut: the largest at
-which the wanted share of good documents is kept.
-
-The fit uses at most `LABELLED` labelled and `POOL` unlabelled documents, those with the least hash of their id; the
-driver holds their features, a fixed number of bytes each, never texts. Every document is scored, from its whole text.
-
-Defined cases: a null text is the empty text; null language or source are values of their own, values not seen in the
-sample fall under "other"; labels other than 0 and 1, or of unknown documents, are left out; documents labelled twice
-count twice; with fewer than `LEAST` labelled documents of either class nothing can be learned and all are kept with
-score 0.5; repeated rows are scored alike; an empty table gives no rows.
+In each round both score all documents outside the labelled sample, and each hands those it is sure of (a calibrated
+chance of `SURE` or more for their class) to the other as pseudo-labels; then both are fitted anew. Labelled documents
+that were held back calibrate each view (a logistic curve over its score) and the sum of both, and set the cut: the
+largest at which the wanted share of good documents is kept.
+
+The fit uses at most `LABELLED` labelled documents, those with the least hash of their id; this is the only bound.
+Pseudo-labelled documents are as many as the corpus has. They enter the fit as the means of `CELLS` cells of a class, by
+a hash of the id, each weighing as many documents as it holds: a round is one pass whose sums are whole numbers, merged
+by Spark, so that neither tasks nor their order change them, and the driver holds a fixed number of means, never texts.
+Languages and sources are counted over the table: the `VALUES` most frequent have a feature each, all others share
+`HASHED` features by a hash. Every document is scored, from its whole text.
+
+Defined cases: a null text is the empty text; null language or source are values of their own; labels other than 0 and
+1, or of unknown documents, are left out; equal labels of one document count once, contradictory ones once each; of rows
+that repeat a labelled id the one with the least text is fitted; rows without id are never labelled and lie in one cell; with fewer than
+`LEAST` labelled documents of either class nothing can be learned and all are kept with score 0.5; a round in which no
+view is sure of any document changes nothing; repeated rows are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm.common import text_or_empty
 
 LABELLED = 4000
-POOL = 3000
 ROUNDS = 3
-#: Pseudo-labels each view hands over in a round.
-HANDED = 300
+#: Chance of its class at which a view hands a document to the other.
+SURE = 0.95
+#: Means that stand for the pseudo-labelled documents of a class, and what they weigh against the labelled ones.
+CELLS, HANDED_WEIGHT = 32, 0.5
+#: Parts of one in the whole numbers that are summed.
+UNIT = 2 ** 24
 LEAST = 10
 BUCKETS = 1024
-#: Frequent languages and sources of the sample that have a feature of their own.
-VALUES = 32
+#: Most frequent languages and sources that have a feature of their own, and features that the others share.
+VALUES, HASHED = 32, 16
 MEASURES = 11
 
 _CLASS = np.full(256, 5, dtype=np.uint8)  # letters and bytes of other scripts
@@ -73,12 +82,14 @@ class Linear(NamedTuple):
     bias: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.bias
+        return (x * self.weights).sum(1) + self.bias  # row by row: the same whatever rows share the batch
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 150) -> Linear:
-    """Logistic regression on standardised features, by gradient steps of adaptive size from zero."""
-    mean, spread = x.mean(0), x.std(0) + np.float32(1e-4)
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 150,
+        measured: int | None = None) -> Linear:
+    """Logistic regression by gradient steps of adaptive size from zero, on features standardised by the first
+    `measured` rows (all by default)."""
+    mean, spread = x[:measured].mean(0), x[:measured].std(0) + np.float32(1e-4)
     z = ((x - mean) / spread).astype(np.float32)
     z = np.hstack([z, np.ones((len(z), 1), dtype=np.float32)])
     weight = np.ones(len(y), dtype=np.float32) if weight is None else weight.astype(np.float32)
@@ -115,13 +126,20 @@ class Model(NamedTuple):
         return a, b, self.curves[2][0] * (a + b) + self.curves[2][1]
 
 
+def form_width(languages: tuple, sources: tuple) -> int:
+    return MEASURES + len(languages) + len(sources) + 2 * (1 + HASHED)
+
+
 def with_values(form: np.ndarray, language: list, source: list, languages: tuple, sources: tuple) -> np.ndarray:
-    out = np.zeros((len(form), MEASURES + len(languages) + len(sources) + 2), dtype=np.float32)
+    """The measures, then per column the known values, null, and the hashed rest."""
+    out = np.zeros((len(form), form_width(languages, sources)), dtype=np.float32)
     out[:, :MEASURES] = form
-    for values, known, at in ((language, languages, MEASURES), (source, sources, MEASURES + len(languages) + 1)):
-        place = {v: k for k, v in enumerate(known)}
+    for values, known, at in ((language, languages, MEASURES),
+                              (source, sources, MEASURES + len(languages) + 1 + HASHED)):
+        place = {v: k for k, v in enumerate((*known, None))}
         for k, v in enumerate(values):
-            out[k, at + place.get(v, len(known))] = 1
+            spot = place[v] if v in place else len(place) + crc32(v.encode("utf-8", "replace")) % HASHED
+            out[k, at + spot] = 1
     return out
 
 
@@ -131,38 +149,73 @@ def _curve(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(line.weights[0]), 1e-3), line.bias
 
 
-def co_train(content_l: np.ndarray, form_l: np.ndarray, y: np.ndarray, content_u: np.ndarray, form_u: np.ndarray,
-             languages: tuple, sources: tuple, keep_good: float, rounds: int = ROUNDS) -> Model:
+class Handed(NamedTuple):
+    """Pseudo-labelled documents of one view: sums of their features in units, and their number, by class and cell."""
+    sums: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def none(width: int) -> Handed:
+        return Handed(np.zeros((2, CELLS, width), dtype=np.int64), np.zeros((2, CELLS), dtype=np.int64))
+
+    def add(self, x: np.ndarray, label: np.ndarray, cell: np.ndarray) -> None:
+        """Count the rows whose label is 0 or 1."""
+        got = label >= 0
+        np.add.at(self.sums, (label[got], cell[got]), np.rint(x[got].astype(np.float64) * UNIT).astype(np.int64))
+        np.add.at(self.counts, (label[got], cell[got]), 1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Means of the cells that hold documents, their labels and numbers."""
+        label, cell = np.nonzero(self.counts)
+        counts = self.counts[label, cell]
+        return (self.sums[label, cell] / (counts[:, None] * float(UNIT))).astype(np.float32), label, counts
+
+
+#: Gives what each view (content, form) is handed under two models and their curves.
+Exchange = Callable[[tuple[Linear, Linear], tuple], tuple[Handed, Handed]]
+
+
+def sure_labels(odds: np.ndarray) -> np.ndarray:
+    """1 or 0 where the log odds are sure, else -1."""
+    least = np.log(SURE / (1 - SURE))
+    return np.where(odds >= least, 1, np.where(odds <= -least, 0, -1))
+
+
+def exchanged(models: tuple[Linear, Linear], curves: tuple, content_: np.ndarray, form: np.ndarray, cell: np.ndarray,
+              handed: tuple[Handed, Handed]) -> None:
+    """Add to what each view is handed the rows that the other one is sure of."""
+    views = (content_, form)
+    for v in (0, 1):
+        slope, offset = curves[v]
+        handed[1 - v].add(views[1 - v], sure_labels(slope * models[v].score(views[v]) + offset), cell)
+
+
+def co_train(content_l: np.ndarray, form_l: np.ndarray, y: np.ndarray, exchange: Exchange, languages: tuple,
+             sources: tuple, keep_good: float, rounds: int = ROUNDS) -> Model:
     held = np.zeros(len(y), dtype=bool)
     for c in (0, 1):  # a third of each class is held back
         held[np.flatnonzero(y == c)[::3]] = True
-    views = [(content_l[~held], content_u), (form_l[~held], form_u)]
-    own, share = y[~held], float(y[~held].mean())
-    handed = [np.full(len(content_u), -1), np.full(len(content_u), -1)]  # pseudo-labels each view was handed
-
-    def models() -> list[Linear]:
-        out = []
-        for v, (labelled, pool) in enumerate(views):
-            got = np.flatnonzero(handed[v] >= 0)
-            x = np.concatenate([labelled, pool[got]])
-            target = np.concatenate([own, handed[v][got]])
-            out.append(fit(x, target, np.concatenate([np.ones(len(own)), np.full(len(got), 0.5)])))
-        return out
-
-    both = models()
-    for _ in range(rounds if len(content_u) else 0):
-        for v in (0, 1):
-            score = both[v].score(views[v][1])
-            new = np.flatnonzero(handed[1 - v] < 0)
-            order = new[np.argsort(score[new], kind="stable")]
-            good = min(round(HANDED * share), len(order) // 3)
-            bad = min(HANDED - round(HANDED * share), len(order) // 3)
-            sure_good, sure_bad = order[len(order) - good:], order[:bad]
-            handed[1 - v][sure_good[score[sure_good] > 0]] = 1
-            handed[1 - v][sure_bad[score[sure_bad] < 0]] = 0
-        both = models()
-    curves = [_curve(both[0].score(content_l[held]), y[held]), _curve(both[1].score(form_l[held]), y[held])]
-    a, b = (s * m.score(x) + o for (s, o), m, x in zip(curves, both, (content_l[held], form_l[held])))
+    views = (content_l, form_l)
+    own, share = y[~held], (1 - float(y[~held].mean()), float(y[~held].mean()))
+
+    def fitted(handed: tuple[Handed, Handed] | None) -> tuple[tuple[Linear, Linear], list]:
+        models = []
+        for v, view in enumerate(views):
+            x, target, weight = view[~held], own, np.ones(len(own))
+            if handed is not None and (handed[v].counts.sum(1) > 0).all():
+                means, label, counts = handed[v].rows()
+                # Classes keep the labelled shares, however many documents of each a view is sure of.
+                total = np.array([counts[label == c].sum() for c in (0, 1)])
+                more = HANDED_WEIGHT * len(own) * np.array(share)[label] * counts / total[label]
+                x, target, weight = (np.concatenate(p) for p in ((x, means), (target, label), (weight, more)))
+            models.append(fit(x, target, weight, measured=len(own)))
+        curves = [_curve(m.score(view[held]), y[held]) for m, view in zip(models, views)]
+        return tuple(models), curves
+
+    both, curves = fitted(None)
+    for _ in range(rounds):
+        both, curves = fitted(exchange(both, curves))
+    a, b = (s * m.score(view[held]) + o for (s, o), m, view in zip(curves, both, views))
     curves.append(_curve(a + b, y[held]))
     total = curves[2][0] * (a + b) + curves[2][1]
     good = np.sort(total[y[held] == 1])
@@ -172,48 +225,100 @@ def co_train(content_l: np.ndarray, form_l: np.ndarray, y: np.ndarray, content_u
 
 def _features(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [t.encode("utf-8") for t in batch.column("_text").to_pylist()]
-            yield pa.record_batch([
-                *(batch.column(c) for c in ("_lang", "_source", "_y")),
-                pa.array([content(r).tobytes() for r in raw], pa.binary()),
-                pa.array([measures(r).tobytes() for r in raw], pa.binary())], ["lang", "source", "y", "content", "form"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                raw = [t.encode("utf-8") for t in batch.column("_text").to_pylist()]
+                yield pa.record_batch([
+                    *(batch.column(c) for c in ("_lang", "_source", "_y")),
+                    pa.array([content(r).tobytes() for r in raw], pa.binary()),
+                    pa.array([measures(r).tobytes() for r in raw], pa.binary())],
+                    ["lang", "source", "y", "content", "form"])
 
     return rows.select("_lang", "_source", "_y", "_text").mapInArrow(
         run, "lang string, source string, y int, content binary, form binary")
 
 
-def _columns(docs: DataFrame, id_column: str, text: str, language: str, source: str) -> dict:
+def cell_of(id_column: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("cell"), F.col(id_column).cast("string")), F.lit(CELLS)).cast("int")
+
+
+def _exchange(rows: DataFrame, languages: tuple, sources: tuple) -> Exchange:
+    """One pass over `rows`: every task sums what its views hand over, Spark adds the sums."""
+    widths = BUCKETS, form_width(languages, sources)
+
+    def hand(models: tuple[Linear, Linear], curves: tuple) -> tuple[Handed, Handed]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            handed = tuple(map(Handed.none, widths))
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    raw = [t.encode("utf-8") for t in batch.column("_text").to_pylist()]
+                    form = with_values(np.stack([measures(r) for r in raw]), batch.column("_lang").to_pylist(),
+                                       batch.column("_source").to_pylist(), languages, sources)
+                    exchanged(models, curves, np.stack([content(r) for r in raw]), form,
+                              batch.column("_cell").to_numpy(), handed)
+            for v, (sums, counts) in enumerate(handed):
+                for label, cell in zip(*np.nonzero(counts)):
+                    values = np.append(sums[label, cell], counts[label, cell])
+                    yield pa.record_batch([pa.array([n], pa.int32()) for n in (v, label, cell)]
+                                          + [pa.array([values], pa.list_(pa.int64()))], ["v", "y", "cell", "values"])
+
+        parts = rows.select("_lang", "_source", "_cell", "_text").mapInArrow(
+            run, "v int, y int, cell int, values array<bigint>")
+        keys = "v", "y", "cell"
+        sums = (parts.select(*keys, F.posexplode("values").alias("at", "value"))
+                .groupBy(*keys, "at").agg(F.sum("value").alias("value")).toPandas())
+        out = tuple(map(Handed.none, widths))
+        for v, (handed, width) in enumerate(zip(out, widths)):
+            own = sums[sums["v"] == v]
+            is_count = own["at"] == width
+            for part, target in ((own[~is_count], handed.sums), (own[is_count], handed.counts)):
+                spot = tuple(part[k].to_numpy() for k in ("y", "cell", "at")[:target.ndim])
+                target[spot] = part["value"].to_numpy()
+        return out
+
+    return hand
+
+
+def _columns(id_column: str, text: str, language: str, source: str) -> dict:
     return {"_id": F.col(id_column), "_text": text_or_empty(text), "_lang": F.col(language).cast("string"),
             "_source": F.col(source).cast("string")}
 
 
+def _frequent(rows: DataFrame, column: str) -> tuple[str, ...]:
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).count()
+    return tuple(r[0] for r in counts.orderBy(F.desc("count"), column).limit(VALUES).collect())
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang",
           source: str = "source", label: str = "quality", keep_good: float = 0.998, labelled: int = LABELLED,
-          pool: int = POOL) -> Model | None:
+          rounds: int = ROUNDS) -> Model | None:
     """The fitted model, or None without enough labels. `labels` holds doc_id and the label, 1 for good."""
-    rows = docs.select(*(c.alias(n) for n, c in _columns(docs, id_column, text, language, source).items()))
+    rows = docs.select(*(c.alias(n) for n, c in _columns(id_column, text, language, source).items()))
     truth = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("_of"), F.col(label).cast("int").alias("_y"))
     ids = rows.select("_id").where("_id is not null")
     order = F.xxhash64(F.lit("sample"), "_id")
-    known = ids.join(truth, F.col("_id") == F.col("_of")).select("_id", "_y").orderBy(order, "_id", "_y").limit(labelled)
-    other = ids.join(truth, F.col("_id") == F.col("_of"), "left_anti").orderBy(order, "_id").limit(pool)
-    # At most labelled + pool rows by construction: small enough for every task.
-    chosen = known.unionByName(other.withColumn("_y", F.lit(-1)))
-    sample = _features(rows.join(F.broadcast(chosen.distinct()), "_id")).toPandas()
+    known = ids.join(truth, F.col("_id") == F.col("_of")).select("_id", "_y").distinct()
+    # At most `labelled` rows by construction, brought here once: small enough for every task.
+    chosen = docs.sparkSession.createDataFrame(
+        known.orderBy(order, "_id", "_y").limit(labelled).toArrow())
+    parts = "_text", "_lang", "_source"
+    least = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min(F.struct(*parts)).alias("_row"))
+    sample = _features(least.select("_y", *(F.col(f"_row.{c}").alias(c) for c in parts))).toPandas()
     y = sample["y"].to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return None
-    sample = sample.iloc[np.lexsort((sample["form"].map(bytes), sample["content"].map(bytes)))]  # of no task's order
+    sample = sample.iloc[np.lexsort((y, sample["form"].map(bytes), sample["content"].map(bytes)))]  # of no task's order
     y = sample["y"].to_numpy()
     c = np.stack([np.frombuffer(x, dtype=np.float32) for x in sample["content"]])
     f = np.stack([np.frombuffer(x, dtype=np.float32) for x in sample["form"]])
-    common = [tuple(sample[k].dropna().value_counts().sort_index().sort_values(ascending=False, kind="stable")
-                    .index[:VALUES]) for k in ("lang", "source")]
+    common = _frequent(rows, "_lang"), _frequent(rows, "_source")
     form = with_values(f, sample["lang"].tolist(), sample["source"].tolist(), *common)
-    known_, free = y >= 0, y < 0
-    return co_train(c[known_], form[known_], y[known_], c[free], form[free], *common, keep_good)
+    taken = chosen.select(F.col("_id").alias("_of")).distinct()
+    free = rows.join(F.broadcast(taken), F.col("_id") == F.col("_of"), "left_anti").withColumn("_cell", cell_of("_id"))
+    return co_train(c, form, y, _exchange(free, *common), *common, keep_good, rounds)
 
 
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text", language: str = "lang",
