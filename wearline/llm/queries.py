@@ -151,4 +151,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.statements()
+    return sql.statements() | {"op3_url_filter": sql.judged_urls(URL_RULES, BLOCKED_WORDS)}

@@ -86,5 +86,58 @@ SELECT k.word, k.form, ends.root, k.n, k.n_near, k.form_n FROM known k JOIN
   (SELECT c.word, c.root FROM chain c JOIN known e ON e.word = c.root WHERE e.form IS NULL) ends ON ends.word = k.word"""
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: What escaping adds is counted on the escaped text itself; the form is the one of the operator's docstring.
+_CHAT = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) added(k, role)),
+escaped AS (SELECT *, length(replace(replace(replace(replace(role || chr(0) || text, '\', '\\'), '<turn>', '<\turn>'),
+  '<says>', '<\says>'), '</turn>', '<\/turn>')) - 1 AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role || ' ' || sha256(text))) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n + length('<turn><says></turn>'))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id"""
+
+
+def judged_urls(rules: list, words: tuple) -> str:
+    """Hosts with a label among `words` are the block list."""
+    listed = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in rules)
+    return f"""
+WITH found AS (SELECT page_id, row_number() OVER () AS n,
+  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT page_id, n, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM found),
+asked AS (SELECT page_id, n, {_LOWER.format("host")} AS host,
+  regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM cut),
+fitting AS (SELECT a.n, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
+  max_by(r.action, length(r.host || r.path)) AS action FROM asked a JOIN (VALUES {listed}) r(action, host, path)
+  ON (a.host = r.host OR ends_with(a.host, '.' || r.host)) AND starts_with(a.path, r.path) GROUP BY a.n)
+SELECT page_id, host, path, rule, coalesce(action,
+  CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(words)})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM asked LEFT JOIN fitting USING (n)"""
+
+
+#: Equal sets meet once: links are sought between the least documents of distinct sets, over an inverted list.
+_NEAR_DEDUP = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")},
+  '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+runs AS (SELECT doc_id, i, n, concat_ws(' ', word, lead(word, 1) OVER run, lead(word, 2) OVER run) AS item
+  FROM words WINDOW run AS (PARTITION BY doc_id ORDER BY i)),
+sets AS (SELECT doc_id, coalesce(s, []) AS s FROM documents LEFT JOIN (SELECT doc_id, list_sort(list(DISTINCT item)) AS s
+  FROM runs WHERE i <= greatest(n - 2, 1) GROUP BY doc_id) USING (doc_id)),
+nodes AS (SELECT min(doc_id) AS node, s, len(s) AS size FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT node, size, unnest(s) AS item FROM nodes),
+links AS (SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.item = b.item AND a.node <> b.node
+  GROUP BY a.node, b.node, a.size, b.size HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))),
+reached AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+classes AS (SELECT a, min(b) AS component FROM reached GROUP BY a)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id,
+  coalesce(c.component, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN classes c ON c.a = n.node"""
+
+
 def statements() -> dict[str, str]:
-    return {"op12_spelling": _SPELLING, "op13_merkle": _merkle()}
+    return {"op1_chat": _CHAT, "op8_near_dedup": _NEAR_DEDUP, "op12_spelling": _SPELLING, "op13_merkle": _merkle()}
