@@ -31,6 +31,42 @@ def test_maintenance_measures(spark):
         MAINTENANCE.query(df, ["mood"])
 
 
+def test_measures_from_sql(spark):
+    df = _events(spark, ("press", "corrective_repair", 100, 10), ("press", "corrective_repair", 50, 10),
+                 ("press", "preventive_repair", 20, 1), ("press", "failure", 0, 0), ("welder", "failure", 0, 0))
+    assert MAINTENANCE.register(df) == "maintenance_by"
+    names = list(MAINTENANCE.measures)
+    for by in ([], ["station_type"], ["event_type", "plant"], list(MAINTENANCE.dimensions)):
+        listed = ", ".join(f"'{d}'" for d in by)
+        got = spark.sql(f"SELECT {', '.join(by + names)} FROM maintenance_by(array({listed}))")
+        assert rows(got, *by, *names) == rows(MAINTENANCE.query(df, names, by=by), *by, *names)
+    one = spark.sql("SELECT station_type, plant, mttr_min FROM maintenance_by(array('station_type')) WHERE failures > 0")
+    assert rows(one, "station_type", "plant", "mttr_min") == [("press", None, 75.0), ("welder", None, None)]
+    few = spark.sql("SELECT station_type, failures FROM maintenance_by(array('station_type'))")
+    top = few._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    assert top.startswith("Aggregate") and "count_if" not in top.replace("failures", "") and "sum(" not in top
+    assert "distinct" not in top and "avg(" not in top  # measures not asked for are not computed
+    with pytest.raises(Exception, match="maintenance has no mood"):
+        spark.sql("SELECT failures FROM maintenance_by(array('mood'))").collect()
+    MAINTENANCE.register(df.where("false"))
+    assert spark.sql("SELECT failures FROM maintenance_by(NULL)").collect() == []
+
+
+def test_secured_read_from_sql(spark):
+    people = spark.createDataFrame([(1, "P1", "a@x"), (2, "P2", None), (3, None, "c@x")], "id int, plant string, email string")
+    entitled = spark.createDataFrame([("ann", "P1"), ("ann", "P1"), ("bob", "P1"), ("bob", "P2")],
+                                     "principal string, plant_id string")
+    trusted = spark.createDataFrame([("bob",), ("bob",), ("eve",)], "principal string")
+    security.register_secured_read(people, "people", "plant", ["email"], entitled, trusted)
+
+    def seen(who):
+        return rows(spark.sql(f"SELECT * FROM people_for({who})"), "id", "plant", "email")
+
+    assert seen("'ann'") == [(1, "P1", "***redacted***")]
+    assert seen("'bob'") == [(1, "P1", "a@x"), (2, "P2", None)]
+    assert seen("'eve'") == seen("NULL") == seen("'x'' OR ''1'' = ''1'") == []
+
+
 def test_star_join_keeps_unknown_stations(spark):
     master = spark.createDataFrame([("A", "One")], "station_id string, plant_name string")
     scores = spark.createDataFrame(

@@ -157,6 +157,16 @@ def kpi_maintenance(s: Site) -> DataFrame:
     return _round(_round(kpis, 2, "downtime_min", "parts_cost_usd"), 9, "mttr_min", "preventive_share")
 
 
+@query
+def kpi_maintenance_sql(s: Site) -> DataFrame:
+    """`kpi_maintenance` asked in SQL, by a table function of the measures."""
+    return s.spark.sql(f"""
+        SELECT plant, station_type, failures, corrective_repairs, preventive_repairs, round(downtime_min, 2) AS downtime_min,
+               round(parts_cost_usd, 2) AS parts_cost_usd, round(mttr_min, 9) AS mttr_min,
+               round(preventive_share, 9) AS preventive_share, stations_with_failures
+        FROM {MAINTENANCE.register(s.maintenance())}(array('plant', 'station_type'))""")
+
+
 @query
 def kpi_maintenance_hourly(s: Site) -> DataFrame:
     kpis = MAINTENANCE.query(
@@ -279,6 +289,16 @@ def kpi_risk(s: Site) -> DataFrame:
     return _round(kpis, 11, "avg_failure_probability", "avg_sensor_to_score_s")
 
 
+@query
+def kpi_risk_sql(s: Site) -> DataFrame:
+    """`kpi_risk` asked in SQL."""
+    return s.spark.sql(f"""
+        SELECT plant, station_type, round(avg_failure_probability, 11) AS avg_failure_probability, max_failure_probability,
+               scored_windows, high_risk_windows, stations_at_high_risk, stations_down, latest_score_time,
+               round(avg_sensor_to_score_s, 11) AS avg_sensor_to_score_s
+        FROM {RISK.register(_risk_facts(s))}(array('plant', 'station_type'))""")
+
+
 @query
 def kpi_risk_trend(s: Site) -> DataFrame:
     recent = trailing(_risk_facts(s), "window_end", 900)
@@ -374,6 +394,12 @@ def kpi_work_orders_by_cause(s: Site) -> DataFrame:
     return kpis.withColumn("avg_risk_at_creation", F.col("avg_risk_at_creation").cast("double"))
 
 
+@query
+def open_orders_by_plant_sql(s: Site) -> DataFrame:
+    """`q_open_orders_by_plant` asked in SQL."""
+    return s.spark.sql(f"SELECT plant, open_work_orders FROM {WORK_ORDERS.register(_order_facts(s))}(array('plant'))")
+
+
 @query
 def q_open_orders_by_plant(s: Site) -> DataFrame:
     return WORK_ORDERS.query(_order_facts(s), ["open_work_orders"], by=["plant"])
@@ -749,6 +775,19 @@ def row_filter(s: Site) -> DataFrame:
     return security.masked_for(seen, ["email", "phone"], members, SEES_PERSONAL)
 
 
+@query
+def secured_read_sql(s: Site) -> DataFrame:
+    """`row_filter` asked in SQL: the secured read of every principal, by a table function with the principal as argument."""
+    technicians, members = s.raw("technicians"), s.raw("group_members")
+    plants = technicians.select(F.col("home_plant_id").alias("plant_id")).distinct()
+    entitled = security.entitlements(plants, s.raw("plant_access"), members, SEES_ALL)
+    security.register_secured_read(technicians, "technicians", "home_plant_id", ["email", "phone"], entitled,
+                                   members.where(F.col("member_of").isin(*SEES_PERSONAL)))
+    return s.spark.sql("""
+        SELECT seen.*, who.principal AS seen_by FROM (SELECT DISTINCT principal FROM technicians_entitled) who,
+        LATERAL technicians_for(who.principal) seen""")
+
+
 @query
 def plants_per_principal(s: Site) -> DataFrame:
     return security.grants_per_principal(s.raw("plant_access"))

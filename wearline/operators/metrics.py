@@ -1,21 +1,22 @@
-"""Named dimensions and measures over one fact table, compiled to a plain groupBy().agg()."""
+"""Named dimensions and measures over one fact table, for DataFrames and, as table functions, for SQL."""
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.functions.columns import ms_between
-
 
 @dataclass(frozen=True)
 class MetricView:
-    """Dimensions are row expressions, measures aggregate expressions; both are built when a query asks for them."""
+    """Dimensions are row expressions, measures aggregate expressions, both in Spark SQL over the columns of the facts."""
 
     name: str
-    dimensions: Mapping[str, Callable[[], Column]]
-    measures: Mapping[str, Callable[[], Column]]
+    dimensions: Mapping[str, str]
+    measures: Mapping[str, str]
+
+    def _with_dimensions(self, source: DataFrame) -> DataFrame:
+        return source.withColumns({n: F.expr(e) for n, e in self.dimensions.items() if n not in source.columns})
 
     def query(
         self,
@@ -28,11 +29,34 @@ class MetricView:
         unknown = [n for n in (*by, *measures) if n not in self.dimensions and n not in self.measures]
         if unknown:
             raise KeyError(f"{self.name} has no {', '.join(unknown)}")
-        named = [n for n in self.dimensions if n not in source.columns]
-        rows = source.withColumns({n: self.dimensions[n]() for n in named})
+        rows = self._with_dimensions(source)
         if where is not None:
             rows = rows.filter(where)
-        return rows.groupBy(*by).agg(*[self.measures[m]().alias(m) for m in measures])
+        return rows.groupBy(*by).agg(*[F.expr(self.measures[m]).alias(m) for m in measures])
+
+    def register(self, facts: DataFrame) -> str:
+        """A temporary SQL table function `<name>_by(dimensions ARRAY<STRING>)` over the facts; gives its name.
+
+        It returns a column for each dimension, NULL for those not asked for, and one for each measure. Constant
+        arguments are folded, and measures that a query does not select are not computed: the plan is the one of
+        `query`. No dimension (an empty array or NULL) gives the total, no row if there are no facts. A name that is no
+        dimension is an error.
+        """
+        spark, view, function = facts.sparkSession, f"{self.name}_facts", f"{self.name}_by"
+        rows = self._with_dimensions(facts)
+        rows.createOrReplaceTempView(view)
+        kinds = self.query(facts, list(self.measures), by=list(self.dimensions)).schema
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+        chosen = [f"IF(array_contains(dimensions, '{d}'), {d}, NULL) AS chosen_{d}" for d in self.dimensions]
+        known = ", ".join(f"'{d}'" for d in self.dimensions)
+        strange = f"array_except(coalesce(dimensions, array()), array({known}))"
+        spark.sql(f"""
+            CREATE OR REPLACE TEMPORARY FUNCTION {function}(dimensions ARRAY<STRING>) RETURNS TABLE ({columns})
+            RETURN SELECT {", ".join(f"chosen_{d}" for d in self.dimensions)}, {", ".join(self.measures.values())}
+            FROM (SELECT *, {", ".join(chosen)} FROM {view}
+                  WHERE size({strange}) = 0 OR raise_error(concat('{self.name} has no ', array_join({strange}, ', '))))
+            GROUP BY {", ".join(f"chosen_{d}" for d in self.dimensions)}""")
+        return function
 
 
 def with_station(fact: DataFrame, station_master: DataFrame, *columns: str) -> DataFrame:
@@ -41,77 +65,61 @@ def with_station(fact: DataFrame, station_master: DataFrame, *columns: str) -> D
     return fact.join(dimension, "station_id", "left")
 
 
-def _count_where(condition: Callable[[], Column]) -> Callable[[], Column]:
-    return lambda: F.count_if(condition())
-
-
-def _is(column: str, *values: str) -> Callable[[], Column]:
-    return lambda: F.col(column).isin(*values)
-
-
-def _column(name: str) -> Callable[[], Column]:
-    return lambda: F.col(name)
-
-
-_REPAIRS = ("corrective_repair", "preventive_repair")
+_CORRECTIVE = "event_type = 'corrective_repair'"
+_PREVENTIVE = "event_type = 'preventive_repair'"
 
 MAINTENANCE = MetricView(
     "maintenance",
     dimensions={
-        "plant": _column("plant_name"), "line": _column("line_id"), "station": _column("station_id"),
-        "station_type": _column("station_type"), "criticality": _column("criticality"),
-        "event_type": _column("event_type"), "failure_mode": _column("failure_mode"),
-        "event_date": _column("event_date"), "event_hour": lambda: F.date_trunc("hour", "event_ts"),
+        "plant": "plant_name", "line": "line_id", "station": "station_id", "station_type": "station_type",
+        "criticality": "criticality", "event_type": "event_type", "failure_mode": "failure_mode",
+        "event_date": "event_date", "event_hour": "date_trunc('hour', event_ts)",
     },
     measures={
-        "failures": _count_where(_is("event_type", "failure")),
-        "corrective_repairs": _count_where(_is("event_type", "corrective_repair")),
-        "preventive_repairs": _count_where(_is("event_type", "preventive_repair")),
-        "downtime_min": lambda: F.sum("downtime_min"),
-        "parts_cost_usd": lambda: F.sum("parts_cost_usd"),
-        "mttr_min": lambda: F.avg(F.when(_is("event_type", "corrective_repair")(), F.col("downtime_min"))),
-        "preventive_share": lambda: F.try_divide(
-            F.count_if(_is("event_type", "preventive_repair")()), F.count_if(_is("event_type", *_REPAIRS)())),
-        "stations_with_failures": lambda: F.count_distinct(
-            F.when(_is("event_type", "failure")(), F.col("station_id"))),
+        "failures": "count_if(event_type = 'failure')",
+        "corrective_repairs": f"count_if({_CORRECTIVE})",
+        "preventive_repairs": f"count_if({_PREVENTIVE})",
+        "downtime_min": "sum(downtime_min)",
+        "parts_cost_usd": "sum(parts_cost_usd)",
+        "mttr_min": f"avg(CASE WHEN {_CORRECTIVE} THEN downtime_min END)",
+        "preventive_share": f"try_divide(count_if({_PREVENTIVE}), count_if({_CORRECTIVE} OR {_PREVENTIVE}))",
+        "stations_with_failures": "count(DISTINCT CASE WHEN event_type = 'failure' THEN station_id END)",
     },
 )
 
 RISK = MetricView(
     "risk",
     dimensions={
-        "plant": _column("station_plant_name"), "line": _column("line_id"), "station": _column("station_id"),
-        "station_type": _column("station_type"), "criticality": _column("criticality"),
-        "risk_band": _column("risk_band"), "top_signal": _column("top_signal"),
-        "score_minute": lambda: F.date_trunc("minute", "window_end"), "score_time": _column("window_end"),
+        "plant": "station_plant_name", "line": "line_id", "station": "station_id", "station_type": "station_type",
+        "criticality": "criticality", "risk_band": "risk_band", "top_signal": "top_signal",
+        "score_minute": "date_trunc('minute', window_end)", "score_time": "window_end",
     },
     measures={
-        "avg_failure_probability": lambda: F.avg("failure_probability"),
-        "max_failure_probability": lambda: F.max("failure_probability"),
-        "scored_windows": lambda: F.count(F.lit(1)),
-        "high_risk_windows": _count_where(_is("risk_band", "HIGH")),
-        "stations_at_high_risk": lambda: F.count_distinct(F.when(_is("risk_band", "HIGH")(), F.col("station_id"))),
-        "stations_down": lambda: F.count_distinct(F.when(_is("risk_band", "DOWN")(), F.col("station_id"))),
-        "latest_score_time": lambda: F.max("window_end"),
-        "avg_sensor_to_score_s": lambda: F.avg(ms_between("last_reading_ts", "scored_at")) / 1000.0,
+        "avg_failure_probability": "avg(failure_probability)",
+        "max_failure_probability": "max(failure_probability)",
+        "scored_windows": "count(1)",
+        "high_risk_windows": "count_if(risk_band = 'HIGH')",
+        "stations_at_high_risk": "count(DISTINCT CASE WHEN risk_band = 'HIGH' THEN station_id END)",
+        "stations_down": "count(DISTINCT CASE WHEN risk_band = 'DOWN' THEN station_id END)",
+        "latest_score_time": "max(window_end)",
+        "avg_sensor_to_score_s": "avg(unix_millis(scored_at) - unix_millis(last_reading_ts)) / 1000.0D",
     },
 )
 
 WORK_ORDERS = MetricView(
     "work_orders",
     dimensions={
-        "plant": _column("station_plant_name"), "line": _column("line_id"), "station": _column("station_id"),
-        "station_type": _column("station_station_type"), "priority": _column("priority"),
-        "status": _column("status"), "risk_band_at_creation": _column("risk_band"),
-        "top_signal_at_creation": _column("top_signal"), "created_date": lambda: F.to_date("created_at"),
+        "plant": "station_plant_name", "line": "line_id", "station": "station_id",
+        "station_type": "station_station_type", "priority": "priority", "status": "status",
+        "risk_band_at_creation": "risk_band", "top_signal_at_creation": "top_signal",
+        "created_date": "to_date(created_at)",
     },
     measures={
-        "work_orders": lambda: F.count(F.lit(1)),
-        "open_work_orders": _count_where(_is("status", "open", "in_progress")),
-        "completed_work_orders": _count_where(_is("status", "completed")),
-        "avg_risk_at_creation": lambda: F.avg("failure_probability"),
-        "avg_minutes_to_complete": lambda: F.avg(F.when(
-            _is("status", "completed")(),
-            (F.unix_seconds("completed_at") - F.unix_seconds("created_at")) / 60.0)),
+        "work_orders": "count(1)",
+        "open_work_orders": "count_if(status IN ('open', 'in_progress'))",
+        "completed_work_orders": "count_if(status = 'completed')",
+        "avg_risk_at_creation": "avg(failure_probability)",
+        "avg_minutes_to_complete":
+            "avg(CASE WHEN status = 'completed' THEN (unix_seconds(completed_at) - unix_seconds(created_at)) / 60.0D END)",
     },
 )

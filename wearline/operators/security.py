@@ -44,6 +44,26 @@ def register_functions(spark: SparkSession) -> None:
                  RETURNS BOOLEAN RETURN exempt OR array_contains(plants, plant)""")
 
 
+def register_secured_read(df: DataFrame, name: str, plant_column: str, private: Sequence[str], entitled: DataFrame,
+                          trusted: DataFrame) -> None:
+    """A temporary SQL table function `<name>_for(asked_by STRING)`: the rows that a principal may see, personal data
+    masked unless the principal is among `trusted`. An unknown or NULL principal sees nothing.
+
+    `entitled` holds (principal, plant_id) once each, `trusted` holds principal.
+    """
+    spark = df.sparkSession
+    register_functions(spark)
+    df.createOrReplaceTempView(f"{name}_all")
+    entitled.select("principal", "plant_id").distinct().createOrReplaceTempView(f"{name}_entitled")
+    trusted.select("principal").distinct().createOrReplaceTempView(f"{name}_trusted")
+    shown = ", ".join(f"mask_personal(d.{c}, t.principal IS NOT NULL)" if c in private else f"d.{c}" for c in df.columns)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}_for(asked_by STRING) RETURNS TABLE ({columns})
+        RETURN SELECT {shown} FROM {name}_all d JOIN {name}_entitled e ON d.{plant_column} = e.plant_id
+        LEFT JOIN {name}_trusted t ON e.principal = t.principal WHERE e.principal = asked_by""")
+
+
 def grants_per_principal(plant_access: DataFrame) -> DataFrame:
     """Plants of each principal as one sorted, comma-separated text. A principal has no more entries than plants."""
     return plant_access.select("principal", "plant_id").distinct().groupBy("principal").agg(
