@@ -11,7 +11,7 @@ from wearline import catalog
 
 ROWS_ONLY = {"train_gbt", "score_gbt", "model_metrics_gbt", "lead_time_gbt", "grouped_recurrence"}
 SLOW = {"silver_stream", "risk_scores_stream", "health_current_stream", "serving_snapshot", "late_data_audit",
-        "health_changes_stream", "work_orders_stream", "keyed_serving_stream", "sink_commits", "stream_progress", "stream_flow_rollup", "score_consistency", "train_gbt", "score_gbt", "model_metrics_gbt"}
+        "health_changes_stream", "work_orders_stream", "keyed_serving_stream", "sink_commits", "stream_progress", "stream_flow_rollup", "dq_rollup_stream", "score_consistency", "train_gbt", "score_gbt", "model_metrics_gbt"}
 
 
 def test_every_query_has_sql_or_is_known_not_to():
@@ -45,5 +45,6 @@ def test_library_holds_no_forbidden_calls():
 
 def test_streams_agree_with_their_sql(spark, con):
     for name in ("silver_stream", "risk_scores_stream", "health_current_stream", "serving_snapshot", "late_data_audit",
-                 "health_changes_stream", "work_orders_stream", "keyed_serving_stream", "sink_commits", "stream_progress", "stream_flow_rollup"):
+                 "health_changes_stream", "work_orders_stream", "keyed_serving_stream", "sink_commits", "stream_progress", "stream_flow_rollup",
+                 "dq_rollup_stream"):
         assert difference(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) == ""
