@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.constants import FEATURES, SENSORS, STATION_KEYS
-from wearline.operators import clean, compare, episodes, recurrence, scoring, security, windows
+from wearline.operators import clean, compare, episodes, recurrence, scoring, security, sketches, windows
 from wearline.operators.metrics import MAINTENANCE, RISK, WORK_ORDERS, with_station
 from wearline.operators.recent import trailing
 from wearline.plans import evaluation, exposure, maintenance, observability, training, value, work_orders
 from wearline.plans.site import Site, open_site
 from wearline.session import scratch
+from wearline.sources import layout
 from wearline.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -518,6 +519,12 @@ def stream_flow_rollup(s: Site) -> DataFrame:
     return observability.rows_written(replay.progress(s))
 
 
+@query
+def dq_rollup_stream(s: Site) -> DataFrame:
+    """`dq_rollup` kept up to date by a stream of JSON lines, a part of which are cut short."""
+    return replay.event_rollup(s)
+
+
 # -- training and evaluation -------------------------------------------------------------------------------------
 
 @query
@@ -552,6 +559,16 @@ def time_split(s: Site) -> DataFrame:
     return summary(train, "train").unionByName(summary(test, "test"))
 
 
+@query
+def time_split_sketched(s: Site) -> DataFrame:
+    """The cut from hourly sketches, and whether the exact rank of it is within the bound."""
+    share, bound = 0.75, sketches.rank_error()
+    cut = sketches.split_second(s.table("training_hours"), share)
+    span = sketches.rank_span(s.table("training_features"), "window_end", cut)
+    near = (F.col("below") <= share + bound) & (F.col("through") >= share - bound)
+    return span.select(F.col("rows").alias("windows"), F.lit(share).alias("share"), near.alias("within_bound"))
+
+
 @query
 def risk_episodes(s: Site) -> DataFrame:
     return episodes.risk_episodes(s.scored_training())
@@ -629,6 +646,22 @@ def grouped_recurrence(s: Site) -> DataFrame:
 
 # -- observability -----------------------------------------------------------------------------------------------
 
+@query
+def layout_skips(s: Site) -> DataFrame:
+    """Readings laid out by station and time in 256 files: do filters on one station, and on a hundredth of the time,
+    both skip four fifths of them?"""
+    path, readings = f"{scratch(s.spark, 'layout')}/readings", s.raw("sensor_readings")
+    layout.overwrite_by_curve(readings, path, "station_id", "ts", files=256)
+    spans = layout.file_spans(s.spark, path, "station_id", "ts")
+    low, high = spans.agg(F.min("min_ts"), F.max("max_ts")).first()
+    middle, width = low + (high - low) / 2, (high - low) / 100
+    skips = {
+        "station_skips": layout.share_skipped(spans, "station_id", F.lit(STATION), F.lit(STATION)),
+        "time_skips": layout.share_skipped(spans, "ts", F.lit(middle), F.lit(middle + width)),
+    }
+    return spans.agg(F.sum("rows").alias("rows")).select("rows", *[(skip >= 0.8).alias(name) for name, skip in skips.items()])
+
+
 @query
 def throughput(s: Site) -> DataFrame:
     return observability.throughput(s.raw("sensor_readings"))

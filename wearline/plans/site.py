@@ -12,6 +12,7 @@ from wearline.functions.columns import plus_ms, station_position
 from wearline.operators.clean import COMPLETE_WINDOW, clean
 from wearline.operators.scoring import Scorer, by_scorecard, risk_scores
 from wearline.operators.security import register_functions
+from wearline.operators.sketches import hourly_sketches
 from wearline.operators.state import latest_per_key
 from wearline.operators.windows import paned_window_features
 from wearline.plans.exposure import delivery_exposure
@@ -34,7 +35,7 @@ def _clocks() -> dict[str, Column]:
     }
 
 
-STORED = ("readings_clean", "risk_scores", "health_current", "training_features")
+STORED = ("readings_clean", "risk_scores", "health_current", "training_features", "training_hours")
 
 
 class Site:
@@ -118,6 +119,7 @@ class Site:
                 lambda: self.scores(self.table("readings_clean")), {"cluster_by": ("station_id", "window_end")}),
             "health_current": (lambda: self.health(self.table("risk_scores")), {}),
             "training_features": (self.training, {"cluster_by": ("station_id", "window_end")}),
+            "training_hours": (lambda: hourly_sketches(self.table("training_features"), "window_end"), {}),
         }[name]
         if name not in self._built:
             label = hashlib.sha256(self.inputs.encode()).hexdigest()[:16]
