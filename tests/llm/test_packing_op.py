@@ -124,3 +124,15 @@ def test_what_a_worker_remembers_is_bounded_by_bytes():
     before = len(tokenizer._chunks)
     tokenizer.encode("y" * 20_000)
     assert len(tokenizer._chunks) == before
+
+
+def test_a_worker_that_forgets_finds_the_same_ids_again():
+    from wearline.llm import tokens
+
+    path, text = tokenizer_file("word_bpe_49k.json"), "Größe, size! 12 ünïts. " * 50
+    held = tokens.word_tokenizer(path)
+    before = held.encode(text)
+    assert held._chunks and tokens.word_tokenizer(path) is held
+    tokens.forget()
+    tokens.forget()  # nothing is held any more
+    assert not tokens._loaded and tokens.word_tokenizer(path).encode(text) == before

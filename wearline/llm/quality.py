@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm.common import text_or_empty
+from wearline.llm.tokens import forget
 
 LABELLED = 4000
 ROUNDS = 3
@@ -225,6 +226,7 @@ def co_train(content_l: np.ndarray, form_l: np.ndarray, y: np.ndarray, exchange:
 
 def _features(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -249,6 +251,7 @@ def _exchange(rows: DataFrame, languages: tuple, sources: tuple) -> Exchange:
 
     def hand(models: tuple[Linear, Linear], curves: tuple) -> tuple[Handed, Handed]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             handed = tuple(map(Handed.none, widths))
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
@@ -336,6 +339,7 @@ def score_documents(docs: DataFrame, model: Model | None, text: str = "text", la
     rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(kept)), *(c.alias(n) for n, c in inputs.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
