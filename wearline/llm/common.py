@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +31,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = workspace(spark, "llm", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where the C library can do that."""
+    gc.collect()
+    if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+        library.malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same function over batches; at its end the worker gives back what it has freed. Workers wait for tasks of other
+    stages, in which the JVM may need the room."""
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            give_back()
+
+    return whole

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import stored, text_or_empty
+from wearline.llm.common import stored, text_or_empty, trimmed
 from wearline.llm.components import components
 
 ROWS = 5
@@ -165,7 +165,7 @@ def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                                    pa.array(band_lists, pa.list_(pa.int64()))],
                                   ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             elements = [shingler.shingles(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(elements, pa.binary())], ["node", "elements"])
 
-    return docs.mapInArrow(run, "node long, elements binary")
+    return docs.mapInArrow(trimmed(run), "node long, elements binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     b.append(node[k])
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return stream.mapInArrow(compare, "a long, b long")
+    return stream.mapInArrow(trimmed(compare), "a long, b long")
 
 
 def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import text_or_empty
+from wearline.llm.common import text_or_empty, trimmed
 from wearline.llm.tokens import forget
 
 LABELLED = 4000
@@ -238,7 +238,7 @@ def _features(rows: DataFrame) -> DataFrame:
                     ["lang", "source", "y", "content", "form"])
 
     return rows.select("_lang", "_source", "_y", "_text").mapInArrow(
-        run, "lang string, source string, y int, content binary, form binary")
+        trimmed(run), "lang string, source string, y int, content binary, form binary")
 
 
 def cell_of(id_column: str) -> Column:
@@ -268,7 +268,7 @@ def _exchange(rows: DataFrame, languages: tuple, sources: tuple) -> Exchange:
                                           + [pa.array([values], pa.list_(pa.int64()))], ["v", "y", "cell", "values"])
 
         parts = rows.select("_lang", "_source", "_cell", "_text").mapInArrow(
-            run, "v int, y int, cell int, values array<bigint>")
+            trimmed(run), "v int, y int, cell int, values array<bigint>")
         keys = "v", "y", "cell"
         sums = (parts.select(*keys, F.posexplode("values").alias("at", "value"))
                 .groupBy(*keys, "at").agg(F.sum("value").alias("value")).toPandas())
@@ -354,4 +354,4 @@ def score_documents(docs: DataFrame, model: Model | None, text: str = "text", la
     names = [f"c{k}" for k in range(len(kept))]
     schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, kept)),
                         "content_score double, form_score double, quality_score double, accepted boolean"])
-    return rows.mapInArrow(run, schema).toDF(*kept, *made)
+    return rows.mapInArrow(trimmed(run), schema).toDF(*kept, *made)

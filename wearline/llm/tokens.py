@@ -6,12 +6,12 @@ row. Each Python worker remembers the ids of short chunks and words it has met,
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
 from array import array
 
+from wearline.llm.common import give_back
+
 #: Bytes a dictionary may take (time and memory depend on it, not results).
 REMEMBERED_BYTES = 96 << 20
 #: Most that an entry of a short key can take: key and value at their widest, and a slot. Usual ones take half of it.
@@ -107,9 +107,7 @@ def forget() -> None:
     that hold much of their own, and no tokenizer, call this first. It changes time and memory, not results."""
     if _loaded:
         _loaded.clear()
-        gc.collect()
-        if hasattr(_libc := ctypes.CDLL(None), "malloc_trim"):
-            _libc.malloc_trim(0)
+        give_back()
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
