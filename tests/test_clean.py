@@ -11,6 +11,20 @@ def test_dedup_keeps_one_row_per_event(spark):
     assert dedup(df).count() == 2
 
 
+def test_dedup_sends_hashes_and_repeated_rows_only(spark):
+    """Any keys, null and repeated ones; rows of keys that occur once are not shuffled."""
+    data = [reading("A", s, f"e{s}") for s in range(500)] + [reading("A", s, f"e{s}") for s in range(0, 500, 50)] * 3
+    df = readings(spark, data).withColumn("event_id", F.when(F.col("seq") % 100 != 7, F.col("event_id")))
+    once = dedup(df)
+    assert rows(once, "event_id") == rows(df.select("event_id").distinct(), "event_id")
+    assert once.columns == df.columns
+    by_both = dedup(df, ["event_id", "seq"])
+    assert rows(by_both, "event_id", "seq") == rows(df.select("event_id", "seq").distinct(), "event_id", "seq")
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [_key" in plan and "Union" in plan
+    assert dedup(df.limit(0)).count() == 0
+
+
 def test_dedup_comes_before_the_rules(spark):
     """Whichever copy is kept decides: two bad copies leave nothing, and no event is ever seen twice."""
     master = station_master(spark, ("A", "P1", "P1-A", "press"))

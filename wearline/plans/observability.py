@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from wearline.constants import SENSORS
 from wearline.functions.columns import ms_between, text_or
-from wearline.operators.clean import Expectations
+from wearline.operators.clean import Expectations, dedup
 from wearline.operators.recent import as_of_column, trailing
 from wearline.schemas import EXPECTATION_COUNTS
 
@@ -35,9 +35,10 @@ def readings_per_minute(bronze: DataFrame, seconds: int = 600, as_of: datetime |
 
 def duplicate_audit(bronze: DataFrame, silver: DataFrame) -> DataFrame:
     """Delivered rows, distinct events, trusted rows."""
-    delivered = bronze.agg(F.count(F.lit(1)).alias("bronze_rows"),
-                           F.count_distinct("event_id").alias("distinct_event_ids"))
-    return delivered.withColumn("silver_rows", silver.agg(F.count(F.lit(1))).scalar())
+    rows = F.count(F.lit(1))
+    events = dedup(bronze.select("event_id").where("event_id IS NOT NULL"))
+    return bronze.agg(rows.alias("bronze_rows")).withColumns(
+        {"distinct_event_ids": events.agg(rows).scalar(), "silver_rows": silver.agg(rows).scalar()})
 
 
 def nominal_deviation(
