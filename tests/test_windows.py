@@ -147,3 +147,33 @@ def test_features_do_not_depend_on_the_order_of_readings(spark):
     # As text: equal numbers have equal digits, and NaN equals itself.
     first, *others = [sorted(tuple(map(repr, r)) for r in f.select(sorted(f.columns)).collect()) for f in forms]
     assert len(first) == 26 and all(other == first for other in others)
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("Exchange ")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+@pytest.mark.parametrize("form", [window_features, paned_window_features])
+def test_only_readings_travel_and_only_once(spark, form):
+    master = station_master(spark, ("A", "P1", "P1-A", "press"))
+    data = readings(spark, [reading("A", s) for s in range(3590, 3610)])
+    scaled = form(data, scale=lambda plain: clean.normalize(plain, master))
+    assert [e.split("#")[0] for e in _exchanges(scaled) if "window_hour" in e] == ["hashpartitioning(station_id"]
+    assert not any("window_start" in e or "pane" in e for e in _exchanges(scaled))
+    assert rows(scaled, "window_start", "n_readings") == rows(form(clean.normalize(data, master)), "window_start", "n_readings")
+
+
+@pytest.mark.parametrize("form", [window_features, paned_window_features])
+@pytest.mark.parametrize("start", [0, 3600, 7200 - 3])
+def test_windows_across_hours(spark, form, start):
+    seconds = [start + s for s in (-121, -120, -110, -109.5, -1, -0.25, 0, 0.25, 9, 10, 119)]
+    df = _normal(spark, [reading("A", s) for s in seconds] + [reading("A", None, "no-time")])
+    want = {e: n for e in range(start // 10 * 10 - 200, start + 400, 10) if (n := sum(e - 120 <= s < e for s in seconds))}
+    assert {r.window_end: r.n_readings for r in form(df).collect()} == {at(e): n for e, n in want.items()}
+
+
+def test_closed_panes_meet_by_station_before_they_spread_over_windows(spark):
+    df = streamed_window_features(_normal(spark, [reading("A", 1)]))
+    assert any(e.startswith("hashpartitioning(station_id") and "window" not in e.split(",")[0] and e.count("#") <= 3
+               for e in _exchanges(df))
