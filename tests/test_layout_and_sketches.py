@@ -104,3 +104,14 @@ def test_the_curve_visits_every_cell_once_and_never_jumps(spark):
     way = sorted(placed, key=lambda r: r.place)
     assert [r.place for r in way] == list(range(256))
     assert all(abs(a.x - b.x) + abs(a.y - b.y) == 1 for a, b in zip(way, way[1:]))
+
+
+def test_the_curve_is_followed_once_per_cell_and_not_per_row(spark, tmp_path, monkeypatch):
+    followed, curve = [], layout.curve_place
+    monkeypatch.setattr(layout, "curve_place", lambda x, y, bits: followed.append(str(x) + str(y)) or curve(x, y, bits))
+    readings = spark.range(2000).select(
+        F.concat(F.lit("S"), F.col("id") % 7).alias("station"), F.timestamp_seconds(F.col("id") / 7).alias("ts"))
+    layout.overwrite_by_curve(readings, f"{tmp_path}/table", "station", "ts", files=16)
+    assert followed and not any("_bucket" in arguments for arguments in followed)
+    written = spark.read.parquet(f"{tmp_path}/table")
+    assert written.columns == readings.columns and written.exceptAll(readings).isEmpty() and written.count() == 2000
