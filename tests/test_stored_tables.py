@@ -163,3 +163,10 @@ def test_first_gap_reaches_back_before_the_window(spark):
         "writer string, ts timestamp")
     got = observability.commit_cadence(log, 600, at(1000))
     assert rows(got, "writer", "commits", "avg_gap_s") == [("n", 2, 49.0), ("one", 1, None), ("w", 2, 450.0)]
+
+
+def test_a_merge_moves_rows_once(spark, tmp_path):
+    store = KeyedStore(spark, str(tmp_path / "once"), ["k"], ["v"], buckets=4)
+    newest = store._newest(store._bucketed(spark.createDataFrame([(1, 1), (1, 3), (2, 2), (None, 5)], "k int, v int")))
+    assert newest._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows(newest, "k", "v") == [(1, 3), (2, 2), (None, 5)]
