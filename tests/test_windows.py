@@ -177,3 +177,13 @@ def test_closed_panes_meet_by_station_before_they_spread_over_windows(spark):
     df = streamed_window_features(_normal(spark, [reading("A", 1)]))
     assert any(e.startswith("hashpartitioning(station_id") and "window" not in e.split(",")[0] and e.count("#") <= 3
                for e in _exchanges(df))
+
+
+def test_readings_of_a_stream_travel_as_they_are_to_their_pane(spark):
+    df = streamed_window_features(_normal(spark, [reading("A", 1)]))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Aggregate"):]  # no pane is summed ahead of this
+    keys = [line for line in below.splitlines() if "Exchange hashpartitioning" in line and "criticality" in line]
+    assert len(keys) == 1 and "pane#" in keys[0]
+    # ... and none travels to its own key after it
+    assert len([e for e in _exchanges(df) if "criticality" in e]) == 2
