@@ -136,3 +136,16 @@ def test_a_worker_that_forgets_finds_the_same_ids_again():
     tokens.forget()
     tokens.forget()  # nothing is held any more
     assert not tokens._loaded and tokens.word_tokenizer(path).encode(text) == before
+
+
+def test_a_word_is_remembered_and_looked_up_once():
+    from wearline.llm.tokens import Remembering
+
+    tokenizer, asked = WordTokenizer(PATH), []
+    look_up = tokenizer._word
+    tokenizer._word = lambda word: asked.append(word) or look_up(word)
+    text = "harvest Harvest, HARVEST. harvest Été été! x1 harvest"
+    assert np.frombuffer(tokenizer.encode(text), "<u4").tolist() == plain(text)
+    assert asked == ["harvest", "été"]
+    held = [key for kept in vars(tokenizer).values() if isinstance(kept, Remembering) for key in kept]
+    assert held.count("harvest") == 1

@@ -12,8 +12,9 @@ from array import array
 
 from wearline.llm.common import give_back
 
-#: Bytes a dictionary may take (time and memory depend on it, not results).
-REMEMBERED_BYTES = 96 << 20
+#: Bytes the dictionaries may take, and those of signs among them (time and memory depend on it, not results).
+REMEMBERED_BYTES = 168 << 20
+SIGNS_BYTES = 4 << 20
 #: Most that an entry of a short key can take: key and value at their widest, and a slot. Usual ones take half of it.
 ENTRY_BYTES = 480
 #: Longer keys are looked up each time and not remembered.
@@ -60,32 +61,33 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
-        self._words = Remembering(self._word)
-        self._signs = Remembering(self._whole)
-        self._chunks = Remembering(self._chunk)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        packed = array("I", ids)
-        if packed.itemsize != 4 or os.sys.byteorder != "little":
+        # Words are chunks too, and runs of signs are few: one dictionary has most of the room.
+        self._signs = Remembering(self._whole, SIGNS_BYTES)
+        self._chunks = Remembering(self._chunk, REMEMBERED_BYTES - SIGNS_BYTES)
+
+        if array("I").itemsize != 4 or os.sys.byteorder != "little":
             raise RuntimeError("ids are packed on little-endian machines with 32-bit ints")
-        return packed.tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             letters = self._letters
             word = "".join([letters[b] for b in word.encode()])
-        return self._packed([token.id for token in self._model.tokenize(word)])
+        return array("I", [token.id for token in self._model.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.islower() and chunk.isalpha():
+            return self._word(chunk)
         simple = _SIMPLE.fullmatch(chunk)
         if simple is None:
             return self._whole(chunk)
         word, signs = simple.groups()
-        ids = self._words[word.lower()]
+        lower = word.lower()
+        if lower == chunk:
+            return self._word(chunk)
+        ids = self._chunks[lower]
         return ids + self._signs[signs] if signs else ids
 
     def encode(self, text: str) -> bytes:
