@@ -32,6 +32,27 @@ def test_memory_of_samples_does_not_change_results(monkeypatch):
         assert (narrow.signatures([fp.weights(t)])[0] == mark).all()
 
 
+def test_samples_used_most_stay(monkeypatch):
+    monkeypatch.setattr(fp, "REMEMBERED", 100)
+    drawn, real = Counter(), fp.samples
+
+    def counted(terms, *more):
+        drawn.update(w for w, _ in terms)
+        return real(terms, *more)
+
+    monkeypatch.setattr(fp, "samples", counted)
+    sketcher = fp.Sketcher()
+    for i in range(200):
+        sketcher.signatures([fp.weights(" ".join(["often", "twice twice", *(f"w{i}x{j}" for j in range(20))]))])
+    assert set(drawn.values()) == {1}
+
+
+def test_words_of_latin_texts_are_those_of_the_pattern():
+    texts = ["".join(map(chr, range(256))), *(f"Aß{chr(c)}b {chr(c)}É_9" for c in range(0x250)), "x\u0130Y \u03a3"]
+    for text in texts:
+        assert list(fp.weights(text).items()) == list(Counter(fp._WORDS.findall(text.lower())).items())
+
+
 def check(docs, found):
     """docs: (id, text) with unique ids, in any order."""
     order = sorted(docs, key=lambda d: (d[0] is not None, d[0]), reverse=True)

@@ -18,7 +18,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from wearline.llm.common import text_or_empty
 
 COORDINATES = 128
-#: Samples a worker remembers, one row of coordinates for each word and weight.
+#: Samples a worker remembers, one row of coordinates for each word and weight. When they are full, the half used most stays.
 REMEMBERED = 100_000
+#: Rows of samples that are compared at once: they stay in a core's cache.
+COMPARED = 256
 #: Terms whose samples are drawn at once: their arrays stay in a core's cache.
 IN_CACHE = 256
 #: Documents whose samples are drawn together.
@@ -40,26 +42,45 @@ BLOCK_ROWS = 2048
 BROADCAST_HEADS = 65_536
 
 _WORDS = re.compile(r"\w+")
+#: Lower case of each Latin-1 character of a word (Latin-1 as well), a space for every other character.
+_LATIN = "".join(chr(c).lower() if _WORDS.match(chr(c)) else " " for c in range(256)).encode("latin-1")
 
 
 def weights(text: str) -> Counter:
-    return Counter(_WORDS.findall(text.lower()))
+    try:
+        return Counter(text.encode("latin-1").translate(_LATIN).decode("latin-1").split())
+    except UnicodeEncodeError:
+        return Counter(_WORDS.findall(text.lower()))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit moves every output bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A 64-bit finaliser: every input bit moves every output bit. Works in place on an array of its own."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _draw(seed: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform numbers in (0, 1) of 23 bits each, in single precision."""
-    bits = _mix(seed + np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.uint32)
-    halves = (bits >> np.uint32(9)).astype(np.float32)
-    halves += np.float32(0.5)
-    halves *= np.float32(2.0 ** -23)
-    return halves[:, ::2], halves[:, 1::2]
+def _bits(seed: np.ndarray, draw: int) -> np.ndarray:
+    return _mix(seed + np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    """A uniform number in (0, 1) of 23 bits, in single precision, out of each 32 bits."""
+    uniform = (bits >> np.uint32(9)).astype(np.float32)
+    uniform += np.float32(0.5)
+    uniform *= np.float32(2.0 ** -23)
+    return uniform
+
+
+def _gamma(seed: np.ndarray, draw: int) -> np.ndarray:
+    """Gamma(2, 1) out of the two halves of 64 bits."""
+    halves = _uniform(_bits(seed, draw).view(np.uint32))
+    drawn = halves[:, ::2] * halves[:, 1::2]
+    np.log(drawn, out=drawn)
+    return np.negative(drawn, out=drawn)
 
 
 def samples(terms: list[tuple[str, float]], coordinates: int = COORDINATES) -> np.ndarray:
@@ -72,13 +93,16 @@ def samples(terms: list[tuple[str, float]], coordinates: int = COORDINATES) -> n
     for at in range(0, len(terms), IN_CACHE):
         part = slice(at, at + IN_CACHE)
         seed = _mix(keys[part, None] + places[None, :])
-        one, two = _draw(seed, 1)
-        r = -np.log(one * two)
-        one, two = _draw(seed, 2)
-        c = -np.log(one * two)
-        b, _ = _draw(seed, 3)
-        t = np.floor(weight[part] / r + b)
-        out[part] = np.log(c) - r * (t - b) - r
+        r, c = _gamma(seed, 1), _gamma(seed, 2)
+        b = _uniform(_bits(seed, 3).astype(np.uint32))  # the lower half
+        t = weight[part] / r
+        t += b
+        np.floor(t, out=t)
+        t -= b
+        t *= r
+        np.log(c, out=c)
+        c -= t
+        np.subtract(c, r, out=out[part])
     return out
 
 
@@ -87,22 +111,52 @@ class Sketcher:
 
     def __init__(self, coordinates: int = COORDINATES):
         self.coordinates = coordinates
-        self._row: dict[tuple[str, float], int] = {}
+        # A word that occurs once is its own key: a text knows its hash, a pair does not.
+        self._row: dict[str | tuple[str, float], int] = {}
         self._table = np.empty((REMEMBERED, coordinates), dtype=np.float32)
-
-    def _rows(self, documents: list[list]) -> np.ndarray:
-        wanted = set().union(*documents)
-        missing = wanted.difference(self._row)
+        self._uses = np.zeros(REMEMBERED, dtype=np.int64)
+        self._compared = np.empty((COMPARED, coordinates), dtype=np.float32)
+
+    def _make_room(self, wanted: int) -> None:
+        """Keep the half of the samples used most, the most used first, and have room for `wanted` more."""
+        order = np.argsort(-self._uses[:len(self._row)], kind="stable")[:len(self._table) // 2]
+        place = np.full(len(self._row), -1)
+        place[order] = np.arange(len(order))
+        place = place.tolist()
+        self._row = {term: place[at] for term, at in self._row.items() if place[at] >= 0}
+        kept, uses = self._table[order], self._uses[order] // 2
+        room = len(self._table)
+        if len(kept) + wanted > room:  # very long documents: room for all of them
+            room = len(kept) + wanted
+            self._table = np.empty((room, self.coordinates), dtype=np.float32)
+        self._table[:len(kept)] = kept
+        self._uses = np.zeros(room, dtype=np.int64)
+        self._uses[:len(kept)] = uses
+
+    def _rows(self, terms: list) -> np.ndarray:
+        rows = np.fromiter(map(self._row.get, terms, repeat(-1)), dtype=np.int64, count=len(terms))
+        places = np.flatnonzero(rows < 0)
+        missing = {terms[i] for i in places.tolist()}
+        if not missing:
+            return rows
         if len(self._row) + len(missing) > len(self._table):
-            self._row.clear()
-            missing = wanted
-            if len(missing) > len(self._table):  # a very long document: room for all of it
-                self._table = np.empty((len(missing), self.coordinates), dtype=np.float32)
-        if missing:
-            first, new = len(self._row), list(missing)
-            self._table[first:first + len(new)] = samples(new, self.coordinates)
-            self._row.update(zip(new, range(first, first + len(new))))
-        return np.array(list(map(self._row.__getitem__, chain.from_iterable(documents))), dtype=np.int64)
+            self._make_room(len(set(terms)))
+            missing, places = set(terms).difference(self._row), np.arange(len(terms))
+        first, new = len(self._row), list(missing)
+        self._table[first:first + len(new)] = samples(
+            [(term, 1) if isinstance(term, str) else term for term in new], self.coordinates)
+        self._row.update(zip(new, range(first, first + len(new))))
+        rows[places] = [self._row[terms[i]] for i in places.tolist()]
+        return rows
+
+    def _least(self, rows: np.ndarray, out: np.ndarray) -> None:
+        """The minimum over rows of the table, some at a time in an array that is used again."""
+        out.fill(np.inf)
+        for at in range(0, len(rows), COMPARED):
+            some = rows[at:at + COMPARED]
+            taken = self._compared[:len(some)]
+            np.take(self._table, some, axis=0, out=taken, mode="clip")
+            np.minimum(out, taken.min(axis=0), out=out)
 
     def signatures(self, documents: list[Counter]) -> list[np.ndarray | None]:
         """16 bits per coordinate; None for a document without terms."""
@@ -110,11 +164,12 @@ class Sketcher:
         full = [i for i, d in enumerate(documents) if d]
         for at in range(0, len(full), 16):
             some = full[at:at + 16]
-            terms = [list(documents[i].items()) for i in some]
-            rows = self._rows(terms)
-            ends = np.cumsum([len(t) for t in terms]).tolist()
-            # One minimum a document: it runs over whole rows at once, unlike a reduction by places of the rows.
-            least = np.stack([self._table[rows[end - len(t):end]].min(axis=0) for t, end in zip(terms, ends)])
+            rows = self._rows([w if n == 1 else (w, n) for i in some for w, n in documents[i].items()])
+            np.add.at(self._uses, rows, 1)
+            ends = np.cumsum([len(documents[i]) for i in some]).tolist()
+            least = np.empty((len(some), self.coordinates), dtype=np.float32)
+            for k, end in enumerate(ends):
+                self._least(rows[end - len(documents[some[k]]):end], least[k])
             bits = (_mix(least.view(np.uint32).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
             for k, i in enumerate(some):
                 out[i] = bits[k]
