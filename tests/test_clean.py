@@ -83,3 +83,11 @@ def test_rules_reach_the_parquet_scan(spark, tmp_path):
 
 def test_builders_clock():
     assert at(61).minute == 1
+
+
+def test_stored_silver_is_scaled_where_it_is_read(spark, site):
+    stored, plan = site.table("readings_clean"), site.silver()
+    assert stored.dtypes == plan.dtypes
+    assert stored.exceptAll(plan).isEmpty() and plan.exceptAll(stored).isEmpty()
+    files = spark.read.parquet(site._built["readings_clean"])
+    assert not [c for c in files.columns if c.endswith("_n")]
