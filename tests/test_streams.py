@@ -211,3 +211,43 @@ def test_model_queries_take_the_default_booster_and_the_stream_is_scored_by_it(s
     assert gap.windows > 0 and gap.max_abs_diff == 0 and set(asked) == {BoostingParams()}
     streamed = replay.model_scores(open_site(spark, SF))
     assert {r.model_uri for r in streamed.select("model_uri").distinct().toLocalIterator()} == {"gbt"}
+
+
+def test_a_recording_scores_slice_by_slice_and_holds_the_windows_of_one(spark, site):
+    recording = replay.Recording(replay.start(site))
+    stored = recording.scores()._stored_silver()
+    assert len(recording.cleaned) == len(recording.scored) == replay.SLICES
+    read = [sum(p["numInputRows"] for p in run.updates) for run in recording.scored]
+    assert sum(read) == stored.count() and max(read) < stored.count() / 2  # before, one batch took in all of silver
+    at_once = replay.Recording(recording.run, cleaned=recording.cleaned)
+    at_once._score(lambda: recording.run.score("gold-at-once"))
+    same = ["station_id", "window_end", "n_readings", "failure_probability", "top_signal", *FEATURES]
+    gold, again = recording.run.scores().select(same), recording.run.scores("gold-at-once").select(same)
+    assert gold.count() == again.count() > 0 and gold.exceptAll(again).isEmpty()
+
+
+def test_silver_of_a_stream_stores_nominal_values_and_reads_as_scaled(spark, run):
+    run.land(_steady(spark, range(5)))
+    run.clean()
+    assert "_nom_vibration_rms" in run._stored_silver().columns and "vibration_rms_n" not in run._stored_silver().columns
+    scaled = run.silver()
+    assert scaled.columns[-1] == "silver_at" and not [c for c in scaled.columns if c.startswith("_nom_")]
+    assert scaled.where("vibration_rms_n IS NULL").isEmpty() and scaled.count() == 5
+
+
+def test_shuffle_files_go_with_their_micro_batch_and_the_session_keeps_its_settings(spark, site):
+    import os
+
+    def shuffled():
+        return sum(f.startswith("shuffle_") for d in dirs for _, _, files in os.walk(d) for f in files)
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    dirs = [d.getPath() for d in manager.localDirs()]
+    before, settings = shuffled(), {key: spark.conf.get(key, None) for key in flows._CONF}
+    run = replay.start(site)
+    run.land(site.raw("sensor_readings"))
+    landed = shuffled()
+    run.clean()
+    run.score()
+    assert run.scores().count() > 0 and shuffled() <= max(before, landed)  # before, they stayed
+    assert {key: spark.conf.get(key, None) for key in flows._CONF} == settings
