@@ -56,12 +56,13 @@ def overwrite_by_curve(df: DataFrame, path: str, key: str, time: str, files: int
                               outputCol=f"_bucket{axis}", handleInvalid="keep")
         placed = bucketed.transform(placed)
         places.append(F.get(F.lit(steps), F.col(f"_bucket{axis}").cast("int")) if distinct else F.lit(0))
-    # The curve is followed once per cell, 4^bits of them, and not once per row.
+    # The curve is followed once per cell, 4^bits of them, and not once per row: one value inside the plan.
     side, cell = 2**bits, F.col("id")
     cells = df.sparkSession.range(side * side).select(
         cell.alias("_cell"), curve_place(F.floor(cell / side), cell % side, bits).alias("_place"))
-    at = (places[0] * side + places[1]).cast("bigint")
-    ranged = placed.withColumn("_cell", at).join(F.broadcast(cells), "_cell", "left").repartitionByRange(files, "_place", key, time)
+    along = cells.agg(F.array_sort(F.collect_list(F.struct("_cell", "_place")))["_place"]).scalar()
+    at = (places[0] * side + places[1]).cast("int")
+    ranged = placed.withColumn("_place", F.get(along, at)).repartitionByRange(files, "_place", key, time)
     ranged.select(*df.columns).sortWithinPartitions(key, time).write.mode("overwrite").parquet(path)
 
 
