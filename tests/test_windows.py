@@ -1,13 +1,16 @@
+import functools
 import math
 import statistics
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from builders import at, reading, readings, rows, station_master
 from wearline.constants import FEATURES, SENSORS
 from wearline.operators import clean, scoring
 from wearline.operators.windows import paned_window_features, streamed_window_features, window_features
+from wearline.plans import site as site_tables, training
 
 
 def _normal(spark, data, *stations):
@@ -187,3 +190,26 @@ def test_readings_of_a_stream_travel_as_they_are_to_their_pane(spark):
     assert len(keys) == 1 and "pane#" in keys[0]
     # ... and none travels to its own key after it
     assert len([e for e in _exchanges(df) if "criticality" in e]) == 2
+
+
+@pytest.mark.parametrize("scattered", [True, False])
+def test_spans_of_hours_are_the_parts_of_the_whole(spark, scattered):
+    data = [reading("A", s, vibration_rms=2.0 + s % 13 / 50) for s in range(3500, 7300, 3)]
+    some = _normal(spark, [*data, reading("A", None)]).withColumn("mode", F.when(F.second("ts") > 30, "wear"))
+    whole = paned_window_features(some, latest=["mode"], scattered=scattered)
+    spans = training.spans_of_hours(some, 400)
+    assert len(spans) > 2 and [past for _, past in spans[:-1]] == [first for first, _ in spans[1:]]
+    parts = [paned_window_features(some, latest=["mode"], scattered=scattered, hours=span) for span in spans]
+    found = [r for part in parts for r in rows(part, *part.columns)]
+    assert len(found) > 380 and sorted(found, key=str) == sorted(rows(whole, *whole.columns), key=str)
+    assert [m for m, in rows(whole.select("mode_at_end").distinct(), "mode_at_end")] == [None, "wear"]
+    assert training.spans_of_hours(some.where("ts IS NULL"), 400) == []
+
+
+def test_a_long_history_is_stored_span_by_span(spark, site, monkeypatch):
+    monkeypatch.setattr(site_tables, "SPAN_ROWS", 10_000)
+    parts = site._training_parts()
+    assert len(parts) > 1  # before, all readings of a history were on their way to their windows at once
+    assert sum(part.count() for part in parts) == site.training().count() > 0
+    union = functools.reduce(DataFrame.unionByName, parts)
+    assert union.exceptAll(site.training()).isEmpty()
