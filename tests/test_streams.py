@@ -251,3 +251,12 @@ def test_shuffle_files_go_with_their_micro_batch_and_the_session_keeps_its_setti
     run.score()
     assert run.scores().count() > 0 and shuffled() <= max(before, landed)  # before, they stayed
     assert {key: spark.conf.get(key, None) for key in flows._CONF} == settings
+
+
+def test_rows_of_state_per_reading_are_not_counted_and_late_ones_still_are(spark, run):
+    run.land(_steady(spark, range(100)))
+    state = run.clean().updates[0]["stateOperators"][0]
+    assert state["numRowsUpdated"] == 100 and state["numRowsTotal"] <= 0  # before, 100: a look-up more for every key
+    run.land(readings(spark, [reading("P1-A01", 5, "late")]))
+    assert progress.late_rows(run.clean()) == 1 and run.silver().count() == 100
+    assert spark.conf.get(next(iter(flows.UNCOUNTED)), "true") == "true"
